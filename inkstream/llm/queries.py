@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkstream.llm.quality import judge
 from inkstream.llm.superminhash import near_duplicates
 
 
@@ -13,12 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and divergence verdicts of all documents."""
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over 4-word shingles at 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_distribution_divergence": op1_distribution_divergence,
     "op10_superminhash": op10_superminhash,
 }
 
