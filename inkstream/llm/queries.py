@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkstream.llm.mixing import mix
 from inkstream.llm.quality import judge
 from inkstream.llm.secrets import scan
 from inkstream.llm.superminhash import near_duplicates
@@ -25,6 +26,11 @@ def op4_sliding_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op6_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over 4-word shingles at 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -33,6 +39,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op4_sliding_entropy": op4_sliding_entropy,
+    "op6_min_cost_flow": op6_min_cost_flow,
     "op10_superminhash": op10_superminhash,
 }
 
