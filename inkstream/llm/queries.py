@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkstream.llm.mixing import mix
 from inkstream.llm.quality import judge
 from inkstream.llm.secrets import scan
+from inkstream.llm.sstable import tokenize
 from inkstream.llm.superminhash import near_duplicates
 
 
@@ -21,6 +22,11 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token shards of all documents, written and read back."""
+    return tokenize(table(spark, sf_dir, "documents"))
+
+
 def op4_sliding_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents."""
     return scan(table(spark, sf_dir, "documents"))
@@ -38,6 +44,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_divergence": op1_distribution_divergence,
+    "op3_sstable": op3_sstable,
     "op4_sliding_entropy": op4_sliding_entropy,
     "op6_min_cost_flow": op6_min_cost_flow,
     "op10_superminhash": op10_superminhash,
