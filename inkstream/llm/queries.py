@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkstream.llm.debruijn import dedup
 from inkstream.llm.mixing import mix
 from inkstream.llm.quality import judge
 from inkstream.llm.secrets import scan
@@ -37,6 +38,11 @@ def op6_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of all documents after removing repeated 20-word windows."""
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over 4-word shingles at 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sstable": op3_sstable,
     "op4_sliding_entropy": op4_sliding_entropy,
     "op6_min_cost_flow": op6_min_cost_flow,
+    "op9_debruijn": op9_debruijn,
     "op10_superminhash": op10_superminhash,
 }
 
