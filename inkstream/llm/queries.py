@@ -12,6 +12,7 @@ from inkstream.llm.quality import judge
 from inkstream.llm.secrets import scan
 from inkstream.llm.sstable import tokenize
 from inkstream.llm.superminhash import near_duplicates
+from inkstream.llm.templates import leaks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,11 @@ def op6_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of benchmark items, by template windows."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of all documents after removing repeated 20-word windows."""
     return dedup(table(spark, sf_dir, "documents"))
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sstable": op3_sstable,
     "op4_sliding_entropy": op4_sliding_entropy,
     "op6_min_cost_flow": op6_min_cost_flow,
+    "op7_template_decontamination": op7_template_decontamination,
     "op9_debruijn": op9_debruijn,
     "op10_superminhash": op10_superminhash,
 }
