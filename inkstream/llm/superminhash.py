@@ -12,13 +12,15 @@ Plan of ``near_duplicates``:
 1. one Arrow pass: shingle sets, a 128-bit digest of the set, signature, bands;
 2. equal sets collapse to their least id (partial aggregation, no pairs);
 3. (band, value) buckets of at least two sets;
-4. rounds: in every bucket that still joins several components the next centres
-   are compared with the members of other components.  A centre is finished once
-   it has met all of them, so no link is lost, and a large group of copies is one
-   component after its first centre: never all pairs of a bucket.
-   Candidates need an estimated similarity near the threshold, then links are
-   confirmed on the full sets;
-5. union-find over confirmed links.
+4. each bucket's hub (the set that shares most buckets with most others) is compared
+   with its members on full sets: a star, never all pairs.  What a member lacks and
+   adds against its hub is its delta;
+5. two members of a bucket that do not both link to its hub can link only if their
+   deltas overlap by a bound that is a sum of one term for each (see ``_bound``).
+   A prefix-filtered join over delta elements, rarest first, finds every such pair:
+   random edits of one template share hardly any rare element, so a large group of
+   near copies stays near linear.  Candidates are confirmed on full sets;
+6. union-find over confirmed links.
 """
 
 from __future__ import annotations
@@ -34,11 +36,11 @@ from inkstream.llm._stash import Stash
 
 POSITIONS = 128
 BANDS = 32
-#: A candidate goes on to the exact check if its signature estimate is at most this
-#: much below the threshold: 5.6 standard deviations of 128 positions at 0.8.
-SLACK = 0.2
+#: Classes of members by how many delta elements they miss a link to their hub:
+#: none to speak of (linked to it, or joined with it), then from 0, 1, 2, 4 ... on.
+CLASS_FLOORS = (0, 1, 2, 4, 8, 16, 32, 64)
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
-_FIRST = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, marks binary"
+_FIRST = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SILVER = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -116,7 +118,6 @@ def _first_pass(width: int, positions: int, bands: int):
                 value = _text.mix(value + parts[:, :, i] + np.arange(1, bands + 1, dtype=np.uint64))
             some = sizes > 0
             ends = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
-            marks = _text.mix(sig).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(batch.schema.get_field_index("doc_id")),
@@ -124,9 +125,8 @@ def _first_pass(width: int, positions: int, bands: int):
                     pa.array(_sums(_text.mix(h + _GOLD), bounds).view(np.int64)),
                     pa.array(_sums(_text.mix(h ^ _SILVER), bounds).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(value[some].reshape(-1).view(np.int64))),
-                    pa.array([m.tobytes() for m in marks], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands", "marks"],
+                names=["doc_id", "n_shingles", "d1", "d2", "bands"],
             )
 
     return run
@@ -149,12 +149,29 @@ def _set_pass(width: int):
     return run
 
 
-def _agree(batches):
-    """Share of equal signature marks of each candidate pair."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1))], names=["v", "u", "estimate"])
+def _stars(percent: int):
+    """(hub, id, both sets) to whether they link and what the member lacks and adds."""
+
+    def run(batches):
+        for batch in batches:
+            linked, lacks, adds, size, deltas = [], [], [], [], []
+            for hub, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                c, x = np.frombuffer(hub, np.uint64), np.frombuffer(own, np.uint64)
+                delta = np.setxor1d(c, x, assume_unique=True)
+                both = (len(c) + len(x) - len(delta)) // 2
+                linked.append(100 * both >= percent * (len(c) + len(x) - both))
+                lacks.append(len(c) - both)
+                adds.append(len(x) - both)
+                size.append(len(c))
+                deltas.append(delta.view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(d) for d in deltas])]).astype(np.int32)
+            flat = np.concatenate(deltas) if deltas else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), *(pa.array(n, pa.int64()) for n in (lacks, adds, size)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["hub", "id", "linked", "lacks", "adds", "size", "delta"],
+            )
+
+    return run
 
 
 def _confirm(percent: int):
@@ -196,68 +213,83 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, position
     buckets = stash.put(buckets.join(shared, ["band", "value"]), "buckets")
     # what shares most buckets with most others is the likeliest hub of a group
     weight = buckets.groupBy("id").agg((-F.sum("size")).alias("order"))
-    marks = stash.put(nodes.select(F.col("rep").alias("id"), "d1", "marks").join(weight, "id"), "marks")
-    buckets = stash.put(buckets.drop("size").join(marks.select("id", "order"), "id"), "ordered")
+    near = stash.put(nodes.select(F.col("rep").alias("id"), "d1").join(weight, "id"), "near")
+    ordered = stash.put(buckets.drop("size").join(near.select("id", "order"), "id"), "ordered")
     members = stash.put(
-        docs.join(marks.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        docs.join(near.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         .mapInArrow(_set_pass(width), "id long, d1 long, members binary")
-        .join(marks.select("id", "d1"), ["id", "d1"])
+        .join(near.select("id", "d1"), ["id", "d1"])
         .select("id", "members")
         .dropDuplicates(["id"]),
         "members",
     )
+    stash.drop(buckets)
+    stash.release()
+    hubs = ordered.groupBy("band", "value").agg(F.min(F.struct("order", "id")).alias("hub")).select("band", "value", F.col("hub.id").alias("hub"))
+    star = ordered.join(hubs, ["band", "value"]).filter("id <> hub").select("hub", "id").distinct()
+    star = stash.put(_with_sets(star, members, "hub", "id").mapInArrow(_stars(percent), "hub long, id long, linked boolean, lacks long, adds long, size long, delta array<long>"), "star")
+    links = star.filter("linked").select(F.col("hub").alias("v"), F.col("id").alias("u"))
+    component = components(links, stash)
+    more = stash.put(_candidates(star, component, percent, stash), "candidates")
+    more = stash.put(_with_sets(more, members, "v", "u").mapInArrow(_confirm(percent), "v long, u long"), "confirmed")
+    links = links.unionByName(more)
+    component = components(component.unionByName(more), stash)
+    stash.drop(ordered, members)
     stash.release()
-    marks = marks.select("id", "marks")
-    links = component = None
-    fan = 1
-    while True:
-        at = buckets.withColumn("component", F.col("id")) if component is None else (
-            buckets.join(component.select(F.col("v").alias("id"), "u"), "id", "left").withColumn("component", F.coalesce("u", "id")).drop("u")
-        )
-        mixed = at.groupBy("band", "value").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-        at = stash.put(at.join(mixed.select("band", "value"), ["band", "value"]), "mixed")
-        centres = (
-            at.groupBy("band", "value", F.pmod(F.xxhash64("id"), F.lit(fan)).alias("part"))
-            .agg(F.min(F.struct("order", "id", "component")).alias("c"))
-            .select("band", "value", F.col("c.id").alias("centre"), F.col("c.component").alias("of"))
-        )
-        centres = stash.put(centres, "centres")
-        if centres.isEmpty():
-            break
-        pairs = (
-            at.join(centres, ["band", "value"])
-            .filter("component <> of")
-            .select(F.greatest("id", "centre").alias("v"), F.least("id", "centre").alias("u"))
-            .distinct()
-        )
-        pairs = (
-            pairs.join(marks.toDF("v", "mv"), "v")
-            .join(marks.toDF("u", "mu"), "u")
-            .select("v", "u", "mv", "mu")
-            .mapInArrow(_agree, "v long, u long, estimate double")
-            .filter(F.col("estimate") >= percent / 100 - SLACK)
-            .select("v", "u")
-        )
-        found = (
-            pairs.join(members.toDF("v", "sv"), "v")
-            .join(members.toDF("u", "su"), "u")
-            .select("v", "u", "sv", "su")
-            .mapInArrow(_confirm(percent), "v long, u long")
-        )
-        links = stash.put(found if links is None else links.unionByName(found), "links")
-        component = components(links, stash)
-        # a centre has now met all members of its bucket
-        buckets = stash.put(
-            at.drop("component").join(centres.select("band", "value", F.col("centre").alias("id")), ["band", "value", "id"], "left_anti"), "left"
-        )
-        stash.drop(at, centres)
-        stash.release()
-        fan *= 4
     out = sets.select("doc_id", "n_shingles", "d1", "d2").join(reps, ["n_shingles", "d1", "d2"], "left")
-    node = F.coalesce("rep", "doc_id")
-    if links is None:
-        return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), node).alias("component_id"), (F.col("doc_id").isNull() | (node == F.col("doc_id"))).alias("kept"), F.lit(0).cast("long").alias("n_links"))
     degree = links.select(F.explode(F.array("v", "u")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     out = out.join(component.select(F.col("v").alias("rep"), "u"), "rep", "left").join(degree, "rep", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("u", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _with_sets(pairs: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:
+    out = pairs.join(members.toDF(a, "set_a"), a).join(members.toDF(b, "set_b"), b)
+    return out.select(a, b, "set_a", "set_b")
+
+
+def _bound(percent: int):
+    """Scaled lower bound of what a member asks of another's delta.
+
+    With hub c, x lacking a and adding b of its elements, the intersection of x and y
+    is |c| - |lacks of both| + |adds in common|, so they link exactly if their deltas
+    share at least (bound(x) + bound(y)) / scale elements.  The hub itself has the least
+    bound, -(100 - percent) |c|; a member links to it exactly if its own is at most the
+    opposite of that.
+    """
+    scale = 2 * (100 + percent)
+    edge = (100 - percent) * F.col("size")
+    return scale, edge, 2 * (100 * F.col("lacks") + percent * F.col("adds")) - edge
+
+
+def _candidates(star: DataFrame, component: DataFrame, percent: int, stash: Stash) -> DataFrame:
+    """(v, u): pairs of one hub's members, in different components, whose deltas may overlap enough."""
+    scale, edge, bound = _bound(percent)
+    of = lambda name: component.toDF(name, f"of_{name}")
+    d = star.join(of("id"), "id", "left").join(of("hub"), "hub", "left")
+    d = d.withColumn("of_id", F.coalesce("of_id", "id")).withColumn("apart", F.col("of_id") != F.coalesce("of_hub", "hub"))
+    open_ = d.filter("apart").select("hub").distinct()
+    d = d.join(open_, "hub", "left_semi").withColumn("bound", bound).withColumn("edge", edge)
+    misses = F.floor((F.col("bound") - F.col("edge")) / scale)
+    level = F.lit(1)
+    for n, floor in enumerate(CLASS_FLOORS[1:], 2):
+        level = F.when(misses >= floor, n).otherwise(level)
+    d = stash.put(d.select("hub", "id", "of_id", "apart", "bound", "edge", F.size("delta").alias("n"), "delta", F.when(F.col("apart"), level).otherwise(0).alias("level")), "deltas")
+    tokens = d.select("hub", "id", "apart", F.explode("delta").alias("e"))
+    seen = tokens.groupBy("hub", "e").agg(F.count("*").alias("times")).filter("times > 1")
+    ranked = tokens.join(seen, ["hub", "e"]).groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("shared"))
+    # elements that one member alone has come first in every prefix and join nothing
+    ranked = ranked.join(d.drop("delta"), ["hub", "id"]).select(
+        "hub", "id", "of_id", "level", "apart", "bound", "edge", "n", (F.col("n") - F.size("shared")).alias("alone"), F.posexplode("shared").alias("k", "token")
+    )
+    floors = F.array(*(F.struct(F.lit(i).alias("other"), F.lit(f).alias("floor")) for i, f in enumerate((None, *CLASS_FLOORS))))
+    t = ranked.select("*", F.explode(floors).alias("c")).filter("apart or c.other > 0")
+    least = F.when(F.col("c.other") == 0, -F.col("edge")).otherwise(F.col("edge") + F.col("c.floor") * scale)
+    rank = F.col("alone") + F.col("k") + 1
+    t = t.filter(rank <= F.col("n") - F.ceil((F.col("bound") + least) / scale) + 1)
+    t = stash.put(t.select("hub", F.col("token.e").alias("e"), "level", F.col("c.other").alias("other"), "id", "of_id", "bound", "n"), "tokens")
+    x = t.filter("level > 0").toDF("hub", "e", "level", "other", "v", "of_v", "bound_v", "n_v")
+    y = t.toDF("hub", "e", "other", "level", "u", "of_u", "bound_u", "n_u")
+    fits = (F.col("bound_v") + F.col("bound_u")) <= scale * F.least("n_v", "n_u")
+    pairs = x.join(y, ["hub", "e", "level", "other"]).filter((F.col("of_v") != F.col("of_u")) & ((F.col("other") == 0) | (F.col("v") > F.col("u"))) & fits)
+    return pairs.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct()
