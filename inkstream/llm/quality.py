@@ -72,6 +72,7 @@ def _distance(counts: Column, total: Column, shares: tuple[float, ...]) -> Colum
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, base counts and the two distances of each row (doc_id, text)."""
     listed = sorted({w for lang in COMMON_WORDS.values() for w in lang})
+    longest = max(map(len, listed))
     d = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
     n = F.size("w")
     # one hash a window; a window's hash with its place sorts equal windows together
@@ -80,8 +81,8 @@ def features(docs: DataFrame) -> DataFrame:
         "w",
         F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.array_join("w", "").alias("s"),
-        F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<bigint>")).alias("t"),
-        F.filter("w", lambda x: F.lower(x).isin(listed)).alias("common"),
+        F.slice(F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))), F.lit(1), F.greatest(n - 2, F.lit(0))).alias("t"),
+        F.filter("w", lambda x: (F.length(x) <= longest) & F.lower(x).isin(listed)).alias("common"),
     )
     d = d.select(
         "doc_id",
@@ -90,11 +91,12 @@ def features(docs: DataFrame) -> DataFrame:
         "s",
         "t",
         F.sort_array("t").alias("ts"),
-        F.transform("common", F.lower).alias("common"),
+        # each word between two spaces of its own
+        F.concat(F.lit(" "), F.array_join(F.transform("common", F.lower), "  "), F.lit(" ")).alias("common"),
     )
     # windows found twice: neighbours in hash order; without any, places are not needed
     some = F.size(F.array_distinct("ts")) < F.size("ts")
-    ordered = F.array_sort(F.transform("t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.sort_array(F.transform("t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     d = d.withColumn("so", F.when(some, ordered))
     last = F.size("so") - 1
     twice = F.filter(
@@ -123,7 +125,7 @@ def features(docs: DataFrame) -> DataFrame:
     names.append("c_other")
     d = d.select(
         "doc_id", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", *names,
-        *((F.size("common") - F.size(F.array_remove("common", w))).alias(f"w_{w}") for w in listed),
+        *(F.expr(f"(octet_length(common) - octet_length(replace(common, ' {w} ', ''))) div {len(w) + 2}").alias(f"w_{w}") for w in listed),
     )
     d = d.withColumn("classes", F.array(*names))
     for lang, own in COMMON_WORDS.items():
