@@ -129,7 +129,7 @@ def _hash(seed: int) -> Column:
 
 def _name(sources: Column) -> Column:
     """A pattern's text key: its sorted sources as JSON."""
-    return F.to_json(F.array_sort(F.array_distinct(sources)))
+    return F.to_json(F.sort_array(F.array_distinct(sources)))
 
 
 def mix(docs: DataFrame, sources: Column | None = None, seed: int = 17, share: float = OVERSAMPLE) -> DataFrame:
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = 17, share: f
     stash = Stash(spark, "mix")
     sources = F.array("source") if sources is None else sources
     base = stash.put(
-        docs.select("doc_id", word_count(F.col("text")).alias("size"), _hash(seed).alias("h"), _name(sources).alias("pattern"), F.array_sort(F.array_distinct(sources)).alias("members")),
+        docs.select("doc_id", word_count(F.col("text")).alias("size"), _hash(seed).alias("h"), _name(sources).alias("pattern"), F.sort_array(F.array_distinct(sources)).alias("members")),
         "sizes",
     )
     totals = base.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).limit(MAX_PATTERNS + 1).collect()
@@ -198,7 +198,7 @@ def _cuts(base: DataFrame, plan: DataFrame, stash: Stash) -> DataFrame:
     for shift in range(62 - CELL_BITS, -1, -CELL_BITS):
         last = shift < CELL_BITS
         cells = base.join(F.broadcast(state), "pattern").groupBy("pattern", "room", F.shiftright("h", 0 if last else shift).alias("cell")).agg(F.sum("size").alias("size"))
-        lists = cells.groupBy("pattern", "room").agg(F.array_sort(F.collect_list(F.struct("cell", "size"))).alias("cells"))
+        lists = cells.groupBy("pattern", "room").agg(F.sort_array(F.collect_list(F.struct("cell", "size"))).alias("cells"))
         zero = F.struct(F.col("room").alias("room"), F.lit(None).cast("long").alias("cell"), F.lit(0).cast("long").alias("size"))
         walked = F.aggregate(
             "cells",

@@ -13,6 +13,7 @@ from inkstream.llm.secrets import scan
 from inkstream.llm.sstable import tokenize
 from inkstream.llm.superminhash import near_duplicates
 from inkstream.llm.templates import leaks
+from inkstream.llm.toxicity import score
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op2_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token shards of all documents, written and read back."""
     return tokenize(table(spark, sf_dir, "documents"))
@@ -56,6 +62,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_distribution_divergence": op1_distribution_divergence,
+    "op2_subword_softmax": op2_subword_softmax,
     "op3_sstable": op3_sstable,
     "op4_sliding_entropy": op4_sliding_entropy,
     "op6_min_cost_flow": op6_min_cost_flow,

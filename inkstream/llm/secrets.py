@@ -137,7 +137,7 @@ def scan(docs: DataFrame) -> DataFrame:
     d = d.select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
-        F.array_sort(F.concat(*(tagged(k) for k in KINDS[:3]))).alias("base"),
+        F.sort_array(F.concat(*(tagged(k) for k in KINDS[:3]))).alias("base"),
         F.filter(
             F.transform("runs", lambda x: _let(_hot(x["v"]), lambda h: F.struct((x["s"] + h["first"]).alias("s"), F.lit(rank["entropy"]).alias("k"), (x["s"] + h["last"] + WINDOW).alias("e")))),
             lambda x: x["s"].isNotNull(),
@@ -149,6 +149,6 @@ def scan(docs: DataFrame) -> DataFrame:
     return d.select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-        joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        joined(F.sort_array(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_entropy"),
     )
