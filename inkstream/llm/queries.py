@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstream.llm.debruijn import dedup
+from inkstream.llm.langid import identify
 from inkstream.llm.mixing import mix
 from inkstream.llm.quality import judge
 from inkstream.llm.secrets import scan
@@ -40,6 +41,11 @@ def op4_sliding_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op5_piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mix(table(spark, sf_dir, "documents"))
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_subword_softmax": op2_subword_softmax,
     "op3_sstable": op3_sstable,
     "op4_sliding_entropy": op4_sliding_entropy,
+    "op5_piece_unigrams": op5_piece_unigrams,
     "op6_min_cost_flow": op6_min_cost_flow,
     "op7_template_decontamination": op7_template_decontamination,
     "op9_debruijn": op9_debruijn,
