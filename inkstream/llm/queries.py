@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkstream.llm.debruijn import dedup
 from inkstream.llm.langid import identify
 from inkstream.llm.mixing import mix
+from inkstream.llm.licenses import scan as scan_licenses
 from inkstream.llm.quality import judge
 from inkstream.llm.secrets import scan
 from inkstream.llm.sstable import tokenize
@@ -56,6 +58,13 @@ def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of all documents; a document lies in source/lang, as file doc_id."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), path.alias("path"), "text")
+    return scan_licenses(files).withColumnRenamed("key", "doc_id")
+
+
 def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of all documents after removing repeated 20-word windows."""
     return dedup(table(spark, sf_dir, "documents"))
@@ -74,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_piece_unigrams": op5_piece_unigrams,
     "op6_min_cost_flow": op6_min_cost_flow,
     "op7_template_decontamination": op7_template_decontamination,
+    "op8_license_inheritance": op8_license_inheritance,
     "op9_debruijn": op9_debruijn,
     "op10_superminhash": op10_superminhash,
 }
