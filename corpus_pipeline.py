@@ -1,12 +1,76 @@
-"""Corpus pipeline: quality rules, near-dedup, decontamination, mixing, token shards."""
+"""Corpus pipeline: quality rules, near-dedup, decontamination, mixing, token shards.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns
+what the next one gets as docs, after it was written as Parquet and read again.  All
+but the last return the columns of ``documents``.  Every stage sees all that the one
+before it kept, and its decisions take effect.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkstream.llm._stash import Stash
+from inkstream.llm.mixing import mix
+from inkstream.llm.quality import judge
+from inkstream.llm.sstable import tokenize
+from inkstream.llm.superminhash import near_duplicates
+from inkstream.llm.templates import leaks
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; the whole row rides along in place of its id."""
+    rows = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    return judge(rows).filter("kept").select("doc_id.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word shingles at 0.8.
+
+    Equal rows under one id are one document; rows without an id stay.
+    """
+    kept = near_duplicates(docs, width=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; one taken in part counts as taken."""
+    taken = mix(docs.filter("doc_id is not null")).filter("taken > 0")
+    times = taken.groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    repeated = docs.join(times, "doc_id").withColumn("time", F.explode(F.sequence(F.lit(1), "times")))
+    return repeated.select(docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards of the mix, written and read back."""
+    return tokenize(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing", mixture),
+    ("token shards", shards),
+]
 
-STAGES: list = []
+#: The stages after the first are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Apply all stages to ``documents``."""
+    stash = Stash(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stash.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        stash.release()
+    return STAGES[-1][1](spark, docs, sf_dir)
