@@ -13,16 +13,15 @@ from pyspark.sql import functions as F
 
 from inkstream.llm._stash import Stash
 from inkstream.llm.mixing import mix
-from inkstream.llm.quality import judge
+from inkstream.llm.quality import keep
 from inkstream.llm.sstable import tokenize
 from inkstream.llm.superminhash import near_duplicates
 from inkstream.llm.templates import leaks
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the whole row rides along in place of its id."""
-    rows = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
-    return judge(rows).filter("kept").select("doc_id.*")
+    """Documents that the quality rules keep."""
+    return keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

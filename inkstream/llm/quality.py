@@ -162,3 +162,13 @@ def judge(docs: DataFrame, class_limit: float = CLASS_LIMIT, mean_limit: float =
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "word_distance",
     )
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns and no shuffle.
+
+    The whole row rides along in place of the id.  The row number keeps Catalyst from
+    pushing the filter, and with it a copy of every feature, down to the scan.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    return judge(rows).withColumn("row", F.monotonically_increasing_id()).filter("kept and row >= 0").select("doc_id.*")
