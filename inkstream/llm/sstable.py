@@ -40,7 +40,9 @@ BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 8 << 20
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
+#: Bytes of text encoded at once.
+ENCODE_BYTES = 3 << 20
 MAGIC = b"inkSST01"
 _FOOTER = struct.Struct("<QQQQIQQ9s9sI8s")
 _INDEX = struct.Struct("<9sQIIQ")
@@ -164,11 +166,22 @@ class Shard:
         return out
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: ASCII punctuation that stands alone beside a letter; "'" starts contractions and "<" special tokens.
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "'<"]] = True
+_WHOLE = np.zeros(256, bool)
+_WHOLE[[0x27, 0x3C]] = True
+
+
 class WordEncoder:
-    """Encodes texts word by word with a two-generation cache of words.
+    """Encodes texts part by part with a two-generation cache of parts.
 
     The tokenizer splits at white space and drops it, so a text's ids are its words'
-    ids in order; equal words of a chunk are encoded once.
+    ids in order.  If it also splits letters from punctuation or folds A-Z, as asked of
+    it here, so does the cache; words with an apostrophe or "<" stay whole.  Equal parts
+    of a chunk are encoded once.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -177,32 +190,52 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.cached, self.young, self.old = cached, {}, {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        out: list = [None] * len(words)
+        pre, ids = self.tokenizer.pre_tokenizer, lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        marks = [chr(c) for c in np.flatnonzero(_MARK)]
+        self.splits = pre is not None and all([p for p, _ in pre.pre_tokenize_str(t)] == [p for q in (t[:2], t[2:3], t[3:]) for p, _ in pre.pre_tokenize_str(q)] for t in (f"ab{m}cd" for m in marks))
+        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.folds = ids(upper) == ids(upper.lower()) and all(ids(c) == ids(c.lower()) for c in upper)
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        young, old = self.young, self.old
+        out = [young.get(w) for w in parts]
         missing = []
-        for i, w in enumerate(words):
-            got = self.young.get(w)
+        for i in [i for i, v in enumerate(out) if v is None]:
+            got = old.get(parts[i])
             if got is None:
-                got = self.old.get(w)
-                if got is None:
-                    missing.append(i)
-                else:
-                    self.young[w] = got
-            out[i] = got
+                missing.append(i)
+            else:
+                out[i] = young[parts[i]] = got
         if missing:
-            encoded = self.tokenizer.encode_batch_fast([words[i].decode() for i in missing], add_special_tokens=False)
-            for i, e in zip(missing, encoded):
-                out[i] = self.young[words[i]] = np.array(e.ids, "<u4").tobytes()
-        if len(self.young) > self.cached:
-            self.old, self.young = self.young, {}
+            encoded = self.tokenizer.encode_batch_fast([parts[i].decode() for i in missing], add_special_tokens=False)
+            lists = [e.ids for e in encoded]
+            ends = np.cumsum([len(x) for x in lists]) * 4
+            raw = np.fromiter((i for x in lists for i in x), "<u4", int(ends[-1]) // 4).tobytes()
+            for i, a, b in zip(missing, [0, *ends[:-1].tolist()], ends.tolist()):
+                out[i] = young[parts[i]] = raw[a:b]
+        if len(young) > self.cached:
+            self.old, self.young = young, {}
         return out
 
+    def _parts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.splits or len(data) < 2:
+            return starts, ends
+        letter, mark = _LETTER[data], _MARK[data]
+        cut = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+        whole = np.concatenate([[0], np.cumsum(_WHOLE[data])])
+        word = np.searchsorted(starts, cut, "right") - 1
+        ok = (cut > starts[word]) & (cut < ends[word]) & (whole[ends[word]] == whole[starts[word]])
+        cut = cut[ok]
+        return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        starts, ends, first = _text.word_bounds(data, offs)
+        if self.folds:
+            data = _text._LOWER[data]
+        starts, ends, _ = _text.word_bounds(data, offs)
         if not len(starts):
             return [np.zeros(0, "<u4")] * (len(offs) - 1)
+        starts, ends = self._parts(data, starts, ends)
         _, which, back = np.unique(_text.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         coded = self._ids([raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist())])
@@ -211,10 +244,20 @@ class WordEncoder:
         each = sizes[back]
         upto = np.concatenate([[0], np.cumsum(each)])
         ids = flat[np.repeat(begin[back] - upto[:-1], each) + np.arange(upto[-1])]
-        bounds = upto[first]
+        bounds = upto[np.searchsorted(starts, offs)]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+#: A worker process keeps its encoders, and so its words, from task to task.
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _write_shards(root: str, tokenizer: str, shard_bytes: int):
     def run(batches):
         from pyarrow import fs
@@ -222,7 +265,7 @@ def _write_shards(root: str, tokenizer: str, shard_bytes: int):
 
         task = TaskContext.get()
         store, folder = fs.FileSystem.from_uri(root)
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         writer, n = ShardWriter(), 0
 
         def close():
@@ -236,7 +279,7 @@ def _write_shards(root: str, tokenizer: str, shard_bytes: int):
             writer, n = ShardWriter(), n + 1
             return row
 
-        for batch, data, offs in _text.chunks(batches):
+        for batch, data, offs in _text.chunks(batches, limit=ENCODE_BYTES):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(data, offs)):
                 writer.add(key_of(doc_id), np.append(ids, np.uint32(END_ID)))
                 if writer.size >= shard_bytes:
