@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,7 @@ class Stash:
         """Let Spark's cleaner remove shuffle files of stages whose results are already written."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # the cleaner works beside us
 
 
 def delete(spark: SparkSession, path: str) -> None:

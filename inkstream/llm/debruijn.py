@@ -117,25 +117,22 @@ def _edges(k: int, anchor: int):
 
 
 def _compact(k: int):
-    """(doc_id, source, shift, sorted starts) to spans of consecutive windows."""
+    """Rows (doc_id, source, shift, at) in that order to spans of consecutive windows.
+
+    A run that goes on in the next batch becomes two spans, which cover the same words.
+    """
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(3)
-            at, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            if not len(at):
+            if not batch.num_rows:
                 continue
+            doc, source, shift, at = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
             head = np.ones(len(at), bool)
-            head[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
+            head[1:] = (at[1:] > at[:-1] + 1) | (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (shift[1:] != shift[:-1])
             i = np.flatnonzero(head)
-            words = np.diff(np.append(i, len(at))) + k - 1
-            shift = batch.column(2).to_numpy(zero_copy_only=False)[row[i]]
-            take = pa.array(row[i])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), pa.array(at[i]), pa.array(words), batch.column(1).take(take), pa.array(at[i] - shift)],
-                names=["doc_id", "start", "words", "source", "source_start"],
-            )
+            last = np.append(i[1:], len(at)) - 1
+            columns = (doc[i], at[i], at[last] - at[i] + k, source[i], at[i] - shift[i])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "words", "source", "source_start"])
 
     return run
 
@@ -211,15 +208,18 @@ def repeated_spans(docs: DataFrame, k: int = K, anchor: int = ANCHOR, stash: Sta
     edges = stash.put(docs.join(wanted, "doc_id").mapInArrow(_edges(k, anchor), "h long, v int, doc_id long, at int"), "edges")
     stash.drop(wanted)
     stash.release()
-    sources = edges.groupBy("h", "v").agg(F.min(F.struct("doc_id", "at")).alias("s"), F.count("*").alias("times")).filter("times > 1")
-    repeats = (
-        edges.join(sources.select("h", "v", F.col("s.doc_id").alias("source"), F.col("s.at").alias("source_at")), ["h", "v"])
-        .filter((F.col("doc_id") != F.col("source")) | (F.col("at") != F.col("source_at")))
-        .groupBy("doc_id", "source", (F.col("at") - F.col("source_at")).alias("shift"))
-        .agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    )
-    spans = stash.put(repeats.mapInArrow(_compact(k), "doc_id long, start long, words long, source long, source_start long"), "spans")
-    stash.drop(edges)
+    # an edge that occurs once is its own source and is left out below; each step is
+    # written, so that the shuffle of the one before can go
+    sources = edges.groupBy("h", "v").agg(F.min(F.struct("doc_id", "at")).alias("s"))
+    sources = stash.put(sources.select("h", "v", F.col("s.doc_id").alias("source"), F.col("s.at").alias("source_at")), "sources")
+    stash.release()
+    repeats = edges.join(sources, ["h", "v"]).filter((F.col("doc_id") != F.col("source")) | (F.col("at") != F.col("source_at")))
+    repeats = stash.put(repeats.select("doc_id", "source", (F.col("at") - F.col("source_at")).alias("shift"), "at"), "repeats")
+    stash.drop(edges, sources)
+    stash.release()
+    paths = repeats.repartition("doc_id", "source", "shift").sortWithinPartitions("doc_id", "source", "shift", "at")
+    spans = stash.put(paths.mapInArrow(_compact(k), "doc_id long, start long, words long, source long, source_start long"), "spans")
+    stash.drop(repeats)
     stash.release()
     return copies, spans
 
