@@ -147,3 +147,16 @@ def latest(df: DataFrame, key: str, at: str) -> DataFrame:
     """Last row of each key, the smaller id at ties."""
     w = Window.partitionBy(key).orderBy(F.desc(at), "id")
     return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def brief_due(workspaces: DataFrame, briefs: DataFrame, now: int, due_at: Column) -> DataFrame:
+    """Workspaces (id) whose brief time today has come and whose latest brief is older than it."""
+    last = briefs.groupBy(F.col("workspace_id").alias("id")).agg(F.max("generated_at").alias("__last"))
+    d = workspaces.join(last, "id", "left").withColumn("due_at", due_at)
+    return d.filter((F.col("due_at") <= now) & (F.col("__last").isNull() | (F.col("__last") < F.col("due_at")))).drop("__last")
+
+
+def ingest_report(log: DataFrame) -> DataFrame:
+    """Counters of a pass from its log (source_id, ok, items, inserted, duplicates)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return log.agg(F.count("*").alias("polled"), F.count(F.when(~F.col("ok"), 1)).alias("failed"), total("items"), total("inserted"), total("duplicates"))

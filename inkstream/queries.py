@@ -608,3 +608,55 @@ def ingest_pass(spark, d):
     none = spark.createDataFrame([], "id string, workspace_id string, canonical_url string, source_id string, guid string, fetched_at long, simhash long")
     fresh = passes.ingest(_feed_bodies(spark, d), none, reads.clock(spark, d))
     return fresh.agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("n_sources"))
+
+
+# logs, schedules and streams
+
+
+@query("select event_type as topic_id, user_id as article_id, min(epoch_us(ts) // 1000) as matched_at from events group by all")
+def match_record(spark, d):
+    m = table(spark, d, "events").select(F.col("event_type").alias("topic_id"), F.col("user_id").alias("article_id"), millis("ts").alias("matched_at"))
+    return store.insert_new(m, m.limit(0), ["topic_id", "article_id"], ["matched_at"])
+
+
+@query("select distinct source as id, 'Feed ' || source as title from documents order by title, id limit 200")
+def sources_list(spark, d):
+    s = table(spark, d, "documents").select(F.col("source").alias("id")).distinct().withColumn("title", F.concat(F.lit("Feed "), "id"))
+    return s.orderBy("title", "id").limit(store.clamp_limit(None))
+
+
+@query(
+    f"with {ARTICLES}, b as (select source_id as id, max(published_at) as last from art where saved_at is not null group by source_id), w as (select distinct source_id as id from art), "
+    "t as (select w.id, last, (select now // 86400000 * 86400000 from clock) as due_at from w left join b using (id)) select id, due_at from t, clock where due_at <= now and (last is null or last < due_at)"
+)
+def brief_due(spark, d):
+    a, now = reads.load_articles(spark, d), reads.clock(spark, d)
+    briefs = a.filter("saved_at is not null").select(F.col("source_id").alias("workspace_id"), F.col("published_at").alias("generated_at"))
+    due = dates.local_time_today_ms("UTC", F.lit("00:00"), F.lit(now))
+    return store.brief_due(a.select(F.col("source_id").alias("id")).distinct(), briefs, now, due)
+
+
+@query(f"with {_DUPES} select count(distinct source) as polled, 0 as failed, count(*) as items, count(*) - count(duplicate_of) as inserted, count(duplicate_of) as duplicates from documents left join p on id = doc_id")
+def ingest_report(spark, d):
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source").join(_originals(spark, d), "id", "left")
+    log = t.groupBy(F.col("source").alias("source_id")).agg(F.count("*").alias("items"), F.count("duplicate_of").alias("duplicates"))
+    log = log.withColumns({"ok": F.lit(True), "inserted": F.col("items") - F.col("duplicates")})
+    r = store.ingest_report(log)
+    return r.select("polled", F.col("failed").cast("long").alias("failed"), "items", "inserted", "duplicates")
+
+
+@query("select event_type as topic_id, (epoch_us(ts) // 3600000000)::bigint as hour, count(*) as n from events group by all")
+def stream_hourly_counts(spark, d):
+    """The events as a stream, counted by hour; the sink holds one row a topic and hour."""
+    import uuid
+
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    counts = passes.hourly_counts(stream.select(F.col("event_type").alias("topic_id"), F.col("ts").cast("timestamp").alias("ts")))
+    name = f"hourly_{uuid.uuid4().hex}"
+    writer = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}")
+    writer.start().awaitTermination()
+    return spark.table(name).select("topic_id", F.floor(F.unix_seconds("hour") / 3600).alias("hour"), "n")
