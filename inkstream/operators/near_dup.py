@@ -31,7 +31,9 @@ def originals(articles: DataFrame, distance: int = 3, lookback_hours: int = LOOK
     paired with one another; only the hour that the look-back cuts is read in full.
     """
     a = articles.select("id", "at", "simhash", F.floor(F.col("at") / HOUR_MS).alias("hour")).filter("simhash <> 0")
-    near = neighbours(a, distance).select(F.col("h").alias("simhash"), "g")
+    times = a.groupBy("simhash").agg(F.count("*").alias("times"))
+    near = neighbours(a, distance).select(F.col("h").alias("simhash"), "g").join(times, "simhash")
+    near = near.filter((F.col("g") != F.col("simhash")) | (F.col("times") > 1)).drop("times")
     span = lookback_hours * HOUR_MS
     probe = a.join(near, "simhash").withColumn("since", F.col("at") - span)
     firsts = a.groupBy(F.col("simhash").alias("g"), F.col("hour").alias("cell")).agg(F.min(F.struct("at", "id")).alias("f"))

@@ -404,13 +404,18 @@ _FEAT = f"""{ARTICLES}, x as (select id, published_at, source_id, {TOKENS.format
  case when len(t) = 0 or len(ts) = 0 then 0 else len(list_intersect(t, ts)) / (len(t) + len(ts) - len(list_intersect(t, ts)))::double end as b from p, st)"""
 
 
+def _with_sets(a: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    f = a.select("id", "workspace_id", "source_id", "published_at", "fetched_at", "title", "body")
+    return f.withColumns({"shingles": text.shingle_set("body"), "title_tokens": F.sort_array(F.array_distinct(text.tokens_norm("title"))), "entities": none})
+
+
 def _seeds(spark, d):
+    """Pending articles and a story per source, each cut down before its sets are made."""
     a = reads.load_articles(spark, d)
+    pending = a.orderBy("published_at", "id").limit(clustering.PENDING)
     first = a.groupBy("source_id").agg(F.min("id").alias("id")).select("id")
-    none = F.array().cast("array<string>")
-    f = a.select("id", "workspace_id", "source_id", "published_at", "fetched_at", "title", "body")
-    f = f.withColumns({"shingles": text.shingle_set("body"), "title_tokens": F.sort_array(F.array_distinct(text.tokens_norm("title"))), "entities": none})
-    return f, f.join(first, "id", "left_semi").withColumn("last_seen_at", F.col("fetched_at"))
+    return _with_sets(pending), _with_sets(a.join(first, "id", "left_semi")).withColumn("last_seen_at", F.col("fetched_at"))
 
 
 @query(f"with {_FEAT} select id as article_id, sid as story_id, round(total, 9) as score from (select id, sid, 0.6 * a + 0.25 * b as total, row_number() over (partition by id order by 0.6 * a + 0.25 * b desc, sid) as r from sc where 0.6 * a + 0.25 * b >= 0.17) where r = 1")
