@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; one longer text is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (1 << 20) - 64
 
 _IS_SEP = np.zeros(256, dtype=bool)
 _IS_SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
