@@ -7,6 +7,11 @@ and item) form runs, and a run counts if its placeholders are filled consistentl
 one value of the item always stands for one value of the text and the other way
 round.  Verbatim passages are the identity filling.
 
+Windows with more placeholders than literal tokens say little as templates.  They are
+hashed with their values, so that they match verbatim, and with other values they only
+continue a run from a literal window beside them, token by token: a literal window
+carries the placeholder-heavy tokens next to it (at most an item's length).
+
 The documents are read once.  If the benchmark has at most ``LOOKUP`` distinct window
 hashes (checked by a count), they go to the tasks, which then emit matching windows
 only; with more, all windows are emitted and the same join does the filtering.
@@ -27,6 +32,8 @@ WIDTH = 8
 RUN = 13
 SHORTEST = 3
 LOOKUP = 4_000_000
+#: Diagonals turned into Python objects at once.
+JUDGED = 256
 #: Units that follow a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -89,19 +96,45 @@ def template_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     return template, value, np.searchsorted(own, np.arange(len(offs)))
 
 
-def _windows(template: np.ndarray, value: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First tokens and hashes of windows in one text with at least half their tokens literal."""
+def _windows(template: np.ndarray, value: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First tokens and hashes of windows in one text, and of all first tokens whether the window is mostly placeholders.
+
+    Those windows are hashed with their values, the others as templates.
+    """
     n = len(template) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     slots = np.concatenate([[0], np.cumsum(value != 0)])
-    ok = (own[:n] == own[width - 1 :]) & (2 * (slots[width:] - slots[:n]) <= width)
-    at = np.flatnonzero(ok)
-    return at, _text.window_hashes(template, width)[at]
+    inside = own[:n] == own[width - 1 :]
+    heavy = inside & (2 * (slots[width:] - slots[:n]) > width)
+    h = _text.window_hashes(template, width)
+    if heavy.any():
+        filled = np.where(value != 0, _text.mix(template + _text.mix(value)), template)
+        h[heavy] = _text.mix(_text.window_hashes(filled, width)[heavy])
+    at = np.flatnonzero(inside)
+    return at, h[at], heavy
+
+
+def _beside(heavy: np.ndarray, at: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the heavy windows before and after each literal window, at most ``reach``; 0 for heavy ones."""
+    stops = np.concatenate([[-1], np.flatnonzero(~heavy), [len(heavy)]])
+    before = at - 1 - stops[np.searchsorted(stops, at) - 1]
+    after = stops[np.searchsorted(stops, at, "right")] - 1 - at
+    literal = ~heavy[at]
+    return np.where(literal, np.minimum(before, reach), 0), np.where(literal, np.minimum(after, reach), 0)
+
+
+def _lists(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    place = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], sizes)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[place].view(np.int64)))
 
 
-def _emit(widths: tuple[int, ...], known, whole: bool):
-    """(id, text) to (h, id, at, values, tokens); ``known`` broadcasts the sorted hashes to keep.
+def _emit(widths: tuple[int, ...], known, whole: bool, reach: int):
+    """(id, text) to (h, id, at, values, tokens, lead, t, v); ``known`` broadcasts the sorted hashes to keep.
+
+    ``t`` and ``v`` are templates and values of a literal window with the heavy tokens
+    beside it, ``lead`` of them before it; empty if there are none.
 
     ``whole`` emits for each text its windows of ``WIDTH``, or itself if it is shorter.
     """
@@ -112,7 +145,7 @@ def _emit(widths: tuple[int, ...], known, whole: bool):
             template, value, first = template_tokens(data, offs)
             own, counts = _text.owner(first), np.diff(first)
             for width in widths:
-                at, h = _windows(template, value, own, width)
+                at, h, heavy = _windows(template, value, own, width)
                 if whole:
                     hit = (counts[own[at]] == width) | (width == WIDTH)
                 elif keep is not None:
@@ -122,50 +155,83 @@ def _emit(widths: tuple[int, ...], known, whole: bool):
                     hit = np.ones(len(h), bool)
                 at, h = at[hit], h[hit]
                 if len(at):
-                    values = value[at[:, None] + np.arange(width)].view(np.int64)
-                    ends = np.arange(len(at) + 1, dtype=np.int32) * width
+                    before, after = _beside(heavy, at, width, reach)
+                    wide = np.where(before + after > 0, before + width + after, 0)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(h.view(np.int64)),
                             batch.column(0).take(pa.array(own[at])),
                             pa.array((at - first[own[at]]).astype(np.int32)),
-                            pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1))),
+                            _lists(value, at, np.full(len(at), width)),
                             pa.array(counts[own[at]].astype(np.int32)),
+                            pa.array(before.astype(np.int32)),
+                            _lists(template, at - before, wide),
+                            _lists(value, at - before, wide),
                         ],
-                        names=["h", "id", "at", "vals", "tokens"],
+                        names=["h", "id", "at", "vals", "tokens", "lead", "t", "v"],
                     )
 
     return run
 
 
+def _cells(matches: list[dict]) -> dict[int, tuple[int, int]]:
+    """{place in the text: (item's value, text's value)} of all tokens that match on one diagonal."""
+    cells = {}
+    for m in matches:
+        for k, pair in enumerate(zip(m["b"], m["d"])):
+            cells.setdefault(m["at"] + k, pair)
+        here, there = m["ours"], m["theirs"]
+        if not here:
+            continue
+        for step, k in ((-1, -1), (1, len(m["d"]))):
+            while True:
+                i, j = here["lead"] + k, there["lead"] + k
+                if not (0 <= i < len(here["t"]) and 0 <= j < len(there["t"]) and here["t"][i] == there["t"][j]):
+                    break
+                cells.setdefault(m["at"] + k, (there["v"][j], here["v"][i]))
+                k += step
+    return cells
+
+
+def _longest(matches: list[dict]) -> tuple[int, int]:
+    """(tokens, -changed values) of the longest consistent run around a matched window of one diagonal."""
+    cells = _cells(matches)
+    windows = sorted((m["at"], m["at"] + len(m["d"])) for m in matches)
+    best, begin, last, inside = (0, 0), 0, None, 0
+    there, back, uses = {}, {}, {}
+    for at in sorted(cells):
+        if last is None or at != last + 1:
+            begin, there, back, uses = at, {}, {}, {}
+        last = at
+        a, b = cells[at]
+        if a or b:
+            # after a clash the run begins behind the older of the two
+            while there.get(a, b) != b or back.get(b, a) != a:
+                x, y = cells[begin]
+                begin += 1
+                if x or y:
+                    uses[x] -= 1
+                    if not uses[x]:
+                        del uses[x], there[x], back[y]
+            there[a], back[b] = b, a
+            uses[a] = uses.get(a, 0) + 1
+        while inside < len(windows) and windows[inside][0] < begin:
+            inside += 1
+        if inside < len(windows) and windows[inside][1] <= at + 1:
+            best = max(best, (at + 1 - begin, -sum(x != y for x, y in there.items())))
+    return best
+
+
 def _judge(run_tokens: int):
     """Matches of one text, item and diagonal to its longest consistent run."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, JUDGED) for b in batches for at in range(0, b.num_rows, JUDGED)):
             out = []
             for doc, item, tokens, matches in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                best, best_changed = 0, 0
-                i = 0
-                while i < len(matches):
-                    there, back, changed, width = {}, {}, set(), len(matches[i]["d"])
-                    j, ok = i, True
-                    while j < len(matches) and (j == i or matches[j]["at"] == matches[j - 1]["at"] + 1):
-                        pairs = [(a, b) for a, b in zip(matches[j]["b"], matches[j]["d"]) if a or b]
-                        if any(there.get(a, b) != b or back.get(b, a) != a for a, b in pairs):
-                            ok = False
-                            break
-                        there |= dict(pairs)
-                        back |= {b: a for a, b in pairs}
-                        changed |= {a for a, b in pairs if a != b}
-                        j += 1
-                    length = matches[j - 1]["at"] - matches[i]["at"] + width if j > i else 0
-                    if length > best:
-                        best, best_changed = length, len(changed)
-                    # after a clash a new run may begin inside the old one's last window
-                    i = j if ok else max(i + 1, j - width + 1)
+                best, changed = _longest(matches)
                 if best >= max(SHORTEST, min(run_tokens, tokens - 1)):
-                    out.append((doc, item, best, best_changed))
+                    out.append((doc, item, best, -changed))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "run_tokens", "changed_slots"])
 
     return run
@@ -175,7 +241,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, run_tokens: int = RUN, lookup:
     """(doc_id, item_id, run_tokens, changed_slots): documents with a passage of a benchmark item.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text.  Items with the same
-    template are one, named by their least id.  ``run_tokens`` is the longest run and
+    template are one, named by their least id, unless they differ in the values of
+    placeholder-heavy windows.  Passages with other values are found if they have a
+    window that is at least half literal, verbatim ones always.  ``run_tokens`` is the longest run and
     ``changed_slots`` how many of its values differ from the item's (0: verbatim).
     Null and empty texts match nothing, nor do items of fewer than three tokens; null
     ids are left out; repeated rows give one row; extra columns are ignored; an empty
@@ -183,28 +251,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, run_tokens: int = RUN, lookup:
     """
     spark = docs.sparkSession
     stash = Stash(spark, "leaks")
-    kind = "h long, id long, at int, vals array<long>, tokens int"
+    kind = "h long, id long, at int, vals array<long>, tokens int, lead int, t array<long>, v array<long>"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null")
     widths = tuple(range(SHORTEST, WIDTH + 1))
-    windows = items.mapInArrow(_emit(widths, None, True), kind)
+    windows = items.mapInArrow(_emit(widths, None, True, 1 << 30), kind)
     # items with one template: the same windows at the same places
-    windows = stash.put(windows.groupBy("id", "tokens").agg(F.sort_array(F.collect_list(F.struct("at", "h", "vals"))).alias("w")), "items")
+    windows = stash.put(windows.groupBy("id", "tokens").agg(F.sort_array(F.collect_list(F.struct("at", "h", "vals", "lead", "t", "v"))).alias("w")), "items")
     one = windows.withColumn("template", F.sha2(F.to_json(F.transform("w", lambda x: x["h"])), 256))
     one = one.groupBy("template", "tokens").agg(F.min(F.struct("id", "w")).alias("r"))
+    wide = lambda x: F.struct(*(x[k].alias(k) for k in ("lead", "t", "v")))
     items = stash.put(
-        one.select(F.explode("r.w").alias("x"), F.col("r.id").alias("item_id"), "tokens").select(F.col("x.h").alias("h"), F.col("x.at").alias("item_at"), F.col("x.vals").alias("b"), "item_id", "tokens"),
+        one.select(F.explode("r.w").alias("x"), F.col("r.id").alias("item_id"), "tokens").select(
+            F.col("x.h").alias("h"), F.col("x.at").alias("item_at"), F.col("x.vals").alias("b"), wide(F.col("x")).alias("theirs"), "item_id", "tokens"
+        ),
         "windows",
     )
     hashes = items.select("h").distinct()
     known = None
     used = tuple(sorted(r[0] for r in items.select(F.size("b")).distinct().collect())) or (WIDTH,)
+    # no run is longer than its item
+    reach = items.agg(F.max("tokens")).first()[0] or 0
     if hashes.count() <= lookup:
         known = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in hashes.collect()], dtype=np.int64).view(np.uint64)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    found = texts.mapInArrow(_emit(used, known, False), kind)
-    found = found.select("h", F.col("id").alias("doc_id"), "at", F.col("vals").alias("d")).join(items, "h").filter(F.size("d") == F.size("b"))
+    found = texts.mapInArrow(_emit(used, known, False, reach), kind)
+    found = found.select("h", F.col("id").alias("doc_id"), "at", F.col("vals").alias("d"), F.struct("lead", "t", "v").alias("ours")).join(items, "h").filter(F.size("d") == F.size("b"))
+    both = (F.size("ours.t") > 0) & (F.size("theirs.t") > 0)
     # what a run of one diagonal holds is bounded by the item's length
-    runs = found.groupBy("doc_id", "item_id", "tokens", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.sort_array(F.collect_set(F.struct("at", "b", "d"))).alias("matches"))
+    runs = found.groupBy("doc_id", "item_id", "tokens", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
+        F.sort_array(F.collect_set(F.struct("at", "b", "d", F.when(both, F.col("ours")).alias("ours"), F.when(both, F.col("theirs")).alias("theirs")))).alias("matches")
+    )
     judged = runs.select("doc_id", "item_id", "tokens", "matches").mapInArrow(_judge(run_tokens), "doc_id long, item_id long, run_tokens long, changed_slots long")
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("run_tokens", -F.col("changed_slots"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.run_tokens").alias("run_tokens"), (-F.col("m.col2")).alias("changed_slots"))

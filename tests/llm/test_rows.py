@@ -280,3 +280,17 @@ def test_leaks_of_real_items(spark):
     grams = {tuple(w[i : i + 10]) for w in (words(r.text) for r in b.collect()) for i in range(len(w) - 9)}
     want = {r.doc_id for r in d.collect() for w in [words(r.text)] if any(tuple(w[i : i + 10]) in grams for i in range(len(w) - 9))}
     assert {r.doc_id for r in templates.leaks(d, b).collect()} == want and want
+
+
+def test_templates_full_of_placeholders(spark):
+    items = [
+        "Add 12, 15, 18, 21, 24, 30, 36 and 42, then divide the sum by 7.", "Find the median of 3, 9, 14, 2, 7, 11, 5, 8, 20, 16 and 4.", "What comes next: 2, 4, 8, 16, 32, 64, 128?",
+        "We asked John Smith, Mary Jones, Peter Brown, Susan Miller and Linda Davis who came first.",
+    ]
+    other = [items[0].replace("12", "13").replace("42", "48"), "Find the median of 1, 2, 30, 4, 5, 6, 70, 8, 9, 10 and 11.", items[2].replace("128", "99")]
+    clean = ["Add 12, 15, 18, 21, 24, 30, 36", "What comes next: 3, 6, 12, 24, 48, 96, 192?", " ".join(map(str, range(500))), "Find the median of 1, 2, 2, 2, 2, 2, 2, 2, 2, 2 and 2."]
+    d = spark.createDataFrame([(i, f"some words before. {t} and after") for i, t in enumerate(items + other + clean)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for lookup in (templates.LOOKUP, 0):
+        got = {(r.doc_id, r.item_id): r.changed_slots for r in templates.leaks(d, bench, lookup=lookup).collect()}
+        assert got == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 0): 2, (5, 1): got.get((5, 1)), (6, 2): 0} and got[5, 1] > 5
