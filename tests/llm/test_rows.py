@@ -294,3 +294,29 @@ def test_templates_full_of_placeholders(spark):
     for lookup in (templates.LOOKUP, 0):
         got = {(r.doc_id, r.item_id): r.changed_slots for r in templates.leaks(d, bench, lookup=lookup).collect()}
         assert got == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 0): 2, (5, 1): got.get((5, 1)), (6, 2): 0} and got[5, 1] > 5
+
+
+def test_whole_licenses(spark):
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY.
+
+import os
+""" + "x = os.path\n" * 200
+    want = {f"x/{p.stem}/{p.name}": p.stem for p in licenses.TEXTS.glob("*.txt")}
+    texts = {path: (licenses.TEXTS / path.split("/")[-1]).read_text() for path in want}
+    cases = {
+        "a": (gpl.format(3), "GPL-3.0"), "b": (gpl.format(2), "GPL-2.0"), "c": ("// SPDX-License-Identifier: MIT\ncode", "MIT"), "d": ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"),
+        "e": ("SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) \n", "(GPL-2.0 OR MIT)"), "f": ("Copyright (c) 2020 John Smith. All rights reserved.", "Proprietary"),
+        "g": ("/*\n * Copyright (c) 2020 Jo.\n * All rights reserved.\n *\n" + (licenses.TEXTS / "BSD-2-Clause.txt").read_text() + "*/\n\n" + "int x;\n" * 900, "BSD-2-Clause"),
+        "h": ("SPDX-License-Identifier: NONE", None), "i": ("We talk of the copyright and of the license of the thing.\n\nAll of it is prose about the terms of a license.", None),
+    }
+    texts |= {k: t for k, (t, _) in cases.items()}
+    want |= {k: n for k, (_, n) in cases.items()}
+    files = spark.createDataFrame([(i, f"{k}/f" if k in cases else k, t) for i, (k, t) in enumerate(texts.items())], "key int, path string, text string")
+    got = {list(texts)[r.key]: r.license for r in licenses.scan(files).collect()}
+    assert got == want
