@@ -5,10 +5,11 @@ their code-point positions are running sums of the lengths of the matches and of
 the pieces that ``split`` leaves between them.  Cheap guards keep the position work
 to the few texts that can match.
 
-High-entropy spans: candidate runs of secret-like characters with a digit in them
-are walked once, with the counts of the last ``WINDOW`` characters kept up to date
+High-entropy spans: candidate runs of secret-like characters, = only at their end so
+that a name before it is not part of the value, are walked once, with the counts of the last ``WINDOW`` characters kept up to date
 one character in and one out; the window's Shannon entropy follows from the running
-sum of c*log2(c).  The limit depends on the run's character class.
+sum of c*log2(c).  The limit depends on the run's character class: hexadecimal, letters
+of one case, base32, letters, others.
 """
 
 from __future__ import annotations
@@ -21,18 +22,23 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z+/_=-]*[0-9][A-Za-z0-9+/_=-]*"
+CANDIDATE = r"[A-Za-z0-9+/_-]{18,}={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 WINDOW = 20
 #: Bits a character of a window must hold, by class of the run.
 HEX_BITS = 3.0
+ONE_CASE_BITS = 3.2
+BASE32_BITS = 3.3
+LETTER_BITS = 3.55
 MIXED_BITS = 3.6
 #: Runs that look random but are public or plainly not secret.
 ALLOWED = (
     r"^[0-9+/_=-]+$",  # numbers, dates, phone numbers
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
-    r"(?i)example|placeholder|changeme|dummy|sample|test|0123456789|abcdefgh|x{6}",
+    r"^[+/_-]*(?:[A-Z]?[a-z]{1,18}|[A-Z]{1,19})(?:[+/_-]+(?:[A-Z]?[a-z]{1,18}|[A-Z]{1,19}))+[+/_=-]*$",  # paths and names of several words
+    r"(?i)(?<![A-Za-z0-9])(?:example|placeholder|changeme|dummy|sample|test)(?![A-Za-z])",
+    r"(?i)0123456789|abcdefgh|x{6}",
 )
 
 _SPANS = "array<struct<s:bigint,e:bigint,v:string>>"
@@ -82,7 +88,10 @@ def _spans(text: Column, pattern: str, group: int, guard: Column) -> Column:
 
 def _hot(value: Column) -> Column:
     """(first, last): starts of the first and last window over the limit; null if none."""
-    limit = F.when(value.rlike("^[0-9a-f]+$"), F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS))
+    classes = {"^(?:[0-9a-f]+|[0-9A-F]+)$": HEX_BITS, "^(?:[a-z]+|[A-Z]+)=*$": ONE_CASE_BITS, "^(?:[A-Z2-7]+|[a-z2-7]+)=*$": BASE32_BITS, "^[A-Za-z]+=*$": LETTER_BITS}
+    limit = F.lit(MIXED_BITS)
+    for pattern, bits in reversed(classes.items()):
+        limit = F.when(value.rlike(pattern), F.lit(bits)).otherwise(limit)
     log = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
     codes = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1)
 
@@ -121,14 +130,13 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     text = F.col("t")
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    digits = text.rlike("[0-9]")
     d = d.select(
         "doc_id",
         F.filter(_spans(text, ASSIGN, 1, (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(ASSIGN)), lambda x: F.length(x["v"]) >= 6).alias("assign"),
         F.filter(_spans(text, ACCESS, 0, F.contains(text, F.lit("AKIA"))), lambda x: F.length(x["v"]) >= 20).alias("access"),
         _spans(text, HEX, 0, text.rlike(HEX)).alias("hex"),
         F.filter(
-            _spans(text, CANDIDATE, 0, digits),
+            _spans(text, CANDIDATE, 0, text.rlike(CANDIDATE)),
             lambda x: (F.length(x["v"]) >= WINDOW) & ~x["v"].rlike("|".join(f"(?:{p})" for p in ALLOWED)),
         ).alias("runs"),
     )

@@ -320,3 +320,15 @@ import os
     files = spark.createDataFrame([(i, f"{k}/f" if k in cases else k, t) for i, (k, t) in enumerate(texts.items())], "key int, path string, text string")
     got = {list(texts)[r.key]: r.license for r in licenses.scan(files).collect()}
     assert got == want
+
+
+def test_entropy_classes(spark):
+    rng = np.random.default_rng(5)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet, size, share in (("0123456789ABCDEF", 20, 0.9), ("0123456789ABCDEF", 64, 0.99), (upper + "234567", 20, 0.95), (upper + lower, 20, 0.95), (lower, 20, 0.95), (upper + lower + digits, 20, 0.95)):
+        keys = ["".join(rng.choice(list(alphabet), size)) for _ in range(300)]
+        found = secrets.scan(spark.createDataFrame([(i, f"the key {k} here") for i, k in enumerate(keys)], "doc_id long, text string")).filter("n_entropy > 0 or n_hex > 0 or n_access > 0").count()
+        assert found >= share * len(keys)
+    cases = {"latest_key=Zk39fLq02mXvT81rWb7YcE4h": "entropy:11:35", "test_Zk39fLq02mXvT81rWb7YcE4h": "", "usr/share/common-licenses/of_this_system": "", "contestZk39fLq02mXvT81rWb7YcE4h": "entropy:0:31"}
+    got = [r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == list(cases.values())
