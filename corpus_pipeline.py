@@ -19,6 +19,25 @@ from inkstream.llm.superminhash import near_duplicates
 from inkstream.llm.templates import leaks
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """``docs`` with ids above all others where they are null, and the largest given id; None if no id is null.
+
+    The ids are written, so every use sees the same; they hold for one stage.
+    """
+    top, bare = docs.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if not bare:
+        return docs, None
+    top = -1 if top is None else top
+    key = F.lit(top + 1).cast("long") + F.monotonically_increasing_id()
+    given = Stash(docs.sparkSession, "ids").put(docs.filter("doc_id is null").withColumn("doc_id", key), "given")
+    return docs.filter("doc_id is not null").unionByName(given), top
+
+
+def _unnamed(docs: DataFrame, top: int | None) -> DataFrame:
+    """``docs`` with the ids that ``_named`` gave null again."""
+    return docs if top is None else docs.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return keep(docs)
@@ -27,25 +46,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles at 0.8.
 
-    Equal rows under one id are one document; rows without an id stay.
+    Equal rows under one id are one document; every row without an id is one of its own
+    and gives way to a near-duplicate with an id.
     """
-    kept = near_duplicates(docs, width=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    named, top = _named(docs)
+    kept = near_duplicates(named, width=5, percent=80).filter("kept").select("doc_id").distinct()
+    return _unnamed(named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]), top).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    named, top = _named(docs)
+    found = leaks(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return _unnamed(named.join(found, "doc_id", "left_anti"), top).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one taken in part counts as taken."""
-    taken = mix(docs.filter("doc_id is not null")).filter("taken > 0")
+    """Documents as often as the mix takes them; one taken in part counts as taken.
+
+    Rows without an id are mixed like others; which of them it takes can differ between runs.
+    """
+    named, top = _named(docs)
+    taken = mix(named).filter("taken > 0")
     times = taken.groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size")).cast("int")).alias("times"))
-    repeated = docs.join(times, "doc_id").withColumn("time", F.explode(F.sequence(F.lit(1), "times")))
-    return repeated.select(docs.columns)
+    repeated = named.join(times, "doc_id").withColumn("time", F.explode(F.sequence(F.lit(1), "times")))
+    return _unnamed(repeated, top).select(docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,3 +190,20 @@ def test_pipeline(spark):
             assert len(now) == len(left)
     rows = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_pipeline_without_ids(spark):
+    sf = "/root/testdata/sf0.001"
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 3000, 100))
+    both, twice, leak = text(), text(), f"{text()} {spark.read.parquet(f'{sf}/benchmark.parquet').first().text}"
+    rows = [(5, both), (None, both + " more"), (None, twice), (None, twice), (None, leak)] + [(i if i % 3 else None, text()) for i in range(30, 90)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left, stash = dict.fromkeys(rows, 1), Stash(spark, "t")
+    for gone, (name, stage) in zip([(None, both + " more"), (None, leak)], corpus_pipeline.STAGES[1:3]):
+        docs = stash.put(stage(spark, docs, sf), name.replace(" ", ""))
+        del left[gone]
+        assert collections.Counter((r.doc_id, r.text) for r in docs.collect()) == collections.Counter(left)
+    mixed = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.mixture(spark, docs, sf).collect())
+    assert set(mixed) <= set(left) and sum(mixed.values()) == pytest.approx(1.5 * len(left), abs=1)
+    assert sum(n for (i, _), n in mixed.items() if i is None) >= sum(i is None for i, _ in left)
