@@ -43,6 +43,10 @@ BLOOM_HASHES = 7
 CACHED_WORDS = 400_000
 #: Bytes of text encoded at once.
 ENCODE_BYTES = 3 << 20
+#: Bytes of input files for each range of ids.
+RANGE_BYTES = 64 << 20
+#: Ranges whose shards are summed together.
+BLOCK_RANGES = 1024
 MAGIC = b"inkSST01"
 _FOOTER = struct.Struct("<QQQQIQQ9s9sI8s")
 _INDEX = struct.Struct("<9sQIIQ")
@@ -228,13 +232,26 @@ class WordEncoder:
         cut = cut[ok]
         return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
 
+    @staticmethod
+    def _folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The bytes with A-Z in lower case, but for words with "<": special tokens are matched as written."""
+        low, opens = _text._LOWER[data], np.concatenate([[0], np.cumsum(data == 0x3C)])
+        special = opens[ends] > opens[starts]
+        if special.any():
+            edge = np.zeros(len(data) + 1, np.int8)
+            edge[starts[special]] += 1
+            edge[ends[special]] -= 1
+            inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
+            low[inside] = data[inside]
+        return low
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        if self.folds:
-            data = _text._LOWER[data]
         starts, ends, _ = _text.word_bounds(data, offs)
         if not len(starts):
             return [np.zeros(0, "<u4")] * (len(offs) - 1)
+        if self.folds:
+            data = self._folded(data, starts, ends)
         starts, ends = self._parts(data, starts, ends)
         _, which, back = np.unique(_text.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
@@ -306,13 +323,35 @@ def _read_shards(batches):
             )
 
 
+def _read_bytes(docs: DataFrame) -> int:
+    """Bytes of the files under a plan, as its leaves state them; 0 for leaves that are not files."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def starts_of(shards: DataFrame) -> DataFrame:
+    """(shard, base): the ids in all shards before one; names are in key order.
+
+    Running sums within blocks of ranges, then over the blocks' totals, of which there is
+    one for ``BLOCK_RANGES`` ranges.
+    """
+    s = shards.select("shard", "tokens", F.floor(F.regexp_extract("shard", r"^part-(\d+)-", 1).cast("long") / BLOCK_RANGES).alias("block"))
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = s.groupBy("block").agg(F.sum("tokens").alias("tokens")).select("block", before(Window.orderBy("block")).alias("start"))
+    inside = s.select("shard", "block", before(Window.partitionBy("block").orderBy("shard")).alias("inside"))
+    return inside.join(blocks, "block").select("shard", (F.col("start") + F.col("inside")).alias("base"))
+
+
 def write(docs: DataFrame, tokenizer: str, root: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write shards of ``docs`` (doc_id, text) under ``root``, a URI that executors reach; one row a shard.
 
     The rows are lazy: an action on them writes.  Null texts are written as empty, null
     ids first under a key of their own, repeated ids one after the other by text.
+    There is a range of ids for every ``RANGE_BYTES`` that ``docs`` reads, and at least
+    the session's number of shuffle partitions.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_read_bytes(docs) // RANGE_BYTES))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(_write_shards(root, tokenizer, shard_bytes), "shard string, documents long, tokens long")
 
@@ -343,7 +382,4 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, root: str | None = N
     shards = stash.put(write(docs, tokenizer, root), "manifest")
     stash.release()
     entries = read(spark, root)
-    # one row a shard; names are in key order
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = shards.select("shard", before.alias("base"))
-    return entries.join(base, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    return entries.join(starts_of(shards), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
