@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from inkstream.llm import debruijn, superminhash
 from inkstream.llm._graph import components
+from inkstream.llm._skew import spread_join
 from inkstream.llm._stash import Stash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,6 +153,31 @@ def test_dedup(spark):
     assert debruijn.dedup(d.limit(0)).count() == 0
 
 
+def test_dedup_of_tangled_texts(spark):
+    """Few words and short windows: branches, loops, overlaps and ends of texts everywhere."""
+    rng = np.random.default_rng(6)
+    for k, anchor, words in ((4, 2, 3), (5, 3, 6), (3, 1, 12)):
+        pool = [" ".join(f"w{i}" for i in rng.integers(0, words, int(rng.integers(0, 40)))) for _ in range(30)]
+        rows = [(i, " ".join(pool[j] for j in rng.integers(0, len(pool), int(rng.integers(1, 3))))) for i in range(80)]
+        got = {r.doc_id: tuple(r)[1:] for r in debruijn.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k, anchor).collect()}
+        assert got == brute_dedup(rows, k)
+
+
+def test_dedup_of_one_long_text(spark):
+    """Half a million words in one text, the second half repeating the first but for every hundredth word."""
+    rng = np.random.default_rng(7)
+    half = [f"w{i}" for i in rng.integers(0, 10_000, 250_000)]
+    rows = [(1, " ".join(half + [f"n{i}" if i % 100 == 0 else w for i, w in enumerate(half)])), (2, " ".join(half[1000:1100]))]
+    assert {r.doc_id: tuple(r)[1:] for r in debruijn.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute_dedup(rows)
+
+
+def test_spread_join(spark):
+    left = spark.createDataFrame([(min(i % 7, 2) if i < 900 else i, i) for i in range(1000)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("times"))
+    for heavy in (1, 3, 2000):
+        assert sorted(spread_join(left, right, ["k"], heavy).select("k", "v").collect()) == sorted(left.collect())
+
+
 def test_span_sources(spark):
     """A span's source coordinates name the same words, earlier."""
     rows = span_rows()
