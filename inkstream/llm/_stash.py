@@ -16,6 +16,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ARROW_BYTES = "8m"
+_ARROW, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a fresh temporary one in a local session without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,10 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Stash:
-    """Written intermediate tables of one operator run."""
+    """Written intermediate tables of one operator run.
+
+    The session's Arrow batches, where it has not set their bytes itself, get ``ARROW_BYTES``
+    at most: rows here are whole texts and sets, and a batch is held by the JVM and by the
+    Python worker at once.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if spark.conf.get(_ARROW, None) == _ARROW_DEFAULT:
+            spark.conf.set(_ARROW, ARROW_BYTES)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 

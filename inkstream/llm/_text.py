@@ -9,6 +9,7 @@ a handful of numpy arrays.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +69,23 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker process waits for its next task, beside the JVM's and others' work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def rows(batches, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``size`` rows, for columns of wide values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+    trim()
+
+
 def chunks(batches, text: str = "text", limit: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about ``limit`` bytes of text each, with bytes and offsets."""
     limit = limit or CHUNK_BYTES
@@ -81,6 +99,7 @@ def chunks(batches, text: str = "text", limit: int | None = None) -> Iterator[tu
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first), data[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
             first = last
+    trim()
 
 
 def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
