@@ -19,7 +19,8 @@ Plan of ``near_duplicates``:
    deltas overlap by a bound that is a sum of one term for each (see ``_bound``).
    A prefix-filtered join over delta elements, rarest first, finds every such pair:
    random edits of one template share hardly any rare element, so a large group of
-   near copies stays near linear.  Candidates are confirmed on full sets;
+   near copies stays near linear.  Components meet before their members do, so a group
+   behind another's hub is not paired with itself.  Candidates are confirmed on full sets;
 6. union-find over confirmed links.
 """
 
@@ -32,10 +33,13 @@ from pyspark.sql import functions as F
 
 from inkstream.llm import _text
 from inkstream.llm._graph import components
+from inkstream.llm._skew import HEAVY, spread_join
 from inkstream.llm._stash import Stash
 
 POSITIONS = 128
 BANDS = 32
+#: Pairs of sets turned into arrays at once.
+PAIRS = 256
 #: Classes of members by how many delta elements they miss a link to their hub:
 #: none to speak of (linked to it, or joined with it), then from 0, 1, 2, 4 ... on.
 CLASS_FLOORS = (0, 1, 2, 4, 8, 16, 32, 64)
@@ -153,7 +157,7 @@ def _stars(percent: int):
     """(hub, id, both sets) to whether they link and what the member lacks and adds."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.rows(batches, PAIRS):
             linked, lacks, adds, size, deltas = [], [], [], [], []
             for hub, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 c, x = np.frombuffer(hub, np.uint64), np.frombuffer(own, np.uint64)
@@ -176,7 +180,7 @@ def _stars(percent: int):
 
 def _confirm(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in _text.rows(batches, PAIRS):
             keep = np.zeros(batch.num_rows, bool)
             for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -197,7 +201,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, position
     already joined component are not sought.
 
     Null or wordless texts have no shingles, stay alone and are kept.  A null doc_id
-    links with nothing and has a null component.  Repeated rows each get a row; rows
+    links with nothing and has a null component.  Texts are read whole, however long.  Repeated rows each get a row; rows
     of one doc_id are the same document.  Other columns are ignored; an empty table
     gives an empty result.
     """
@@ -206,7 +210,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, position
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stash.put(docs.mapInArrow(_first_pass(width, positions, bands), _FIRST), "sets")
     full = sets.filter("n_shingles > 0 and doc_id is not null")
-    reps = stash.put(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "representatives")
+    reps = stash.put(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")), "representatives")
     nodes = full.withColumn("rep", F.col("doc_id")).join(reps, ["n_shingles", "d1", "d2", "rep"], "left_semi")
     buckets = nodes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "value")).distinct()
     shared = buckets.groupBy("band", "value").agg(F.count("*").alias("size")).filter("size > 1")
@@ -227,24 +231,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, position
     stash.release()
     hubs = ordered.groupBy("band", "value").agg(F.min(F.struct("order", "id")).alias("hub")).select("band", "value", F.col("hub.id").alias("hub"))
     star = ordered.join(hubs, ["band", "value"]).filter("id <> hub").select("hub", "id").distinct()
-    star = stash.put(_with_sets(star, members, "hub", "id").mapInArrow(_stars(percent), "hub long, id long, linked boolean, lacks long, adds long, size long, delta array<long>"), "star")
+    star = stash.put(_with_sets(star, members, "hub", "id", stash).mapInArrow(_stars(percent), "hub long, id long, linked boolean, lacks long, adds long, size long, delta array<long>"), "star")
     links = star.filter("linked").select(F.col("hub").alias("v"), F.col("id").alias("u"))
     component = components(links, stash)
     more = stash.put(_candidates(star, component, percent, stash), "candidates")
-    more = stash.put(_with_sets(more, members, "v", "u").mapInArrow(_confirm(percent), "v long, u long"), "confirmed")
+    more = stash.put(_with_sets(more, members, "v", "u", stash).mapInArrow(_confirm(percent), "v long, u long"), "confirmed")
     links = links.unionByName(more)
     component = components(component.unionByName(more), stash)
     stash.drop(ordered, members)
     stash.release()
-    out = sets.select("doc_id", "n_shingles", "d1", "d2").join(reps, ["n_shingles", "d1", "d2"], "left")
     degree = links.select(F.explode(F.array("v", "u")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    out = out.join(component.select(F.col("v").alias("rep"), "u"), "rep", "left").join(degree, "rep", "left")
-    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("u", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def _with_sets(pairs: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:
-    out = pairs.join(members.toDF(a, "set_a"), a).join(members.toDF(b, "set_b"), b)
+    known = reps.join(component.select(F.col("v").alias("rep"), "u"), "rep", "left").join(degree, "rep", "left")
+    known = stash.put(known.select("n_shingles", "d1", "d2", "times", F.coalesce("u", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")), "known")
+    out = spread_join(full.select("doc_id", "n_shingles", "d1", "d2"), known, ["n_shingles", "d1", "d2"]).select("doc_id", "n_shingles", "component_id", "n_links")
+    alone = sets.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
+    return out.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "n_links")
+
+
+def _with_sets(pairs: DataFrame, members: DataFrame, a: str, b: str, stash: Stash) -> DataFrame:
+    """``pairs`` with the sets of both sides.  A set with many pairs is copied once for each 1/HEAVY of all of them."""
+    pairs = stash.put(pairs.select(a, b), "pairs")
+    total, out = max(pairs.count(), 1), pairs
+    for column, name in ((a, "set_a"), (b, "set_b")):
+        counts = pairs.groupBy(column).agg(F.count("*").alias("n")).filter(F.col("n") * HEAVY > total)
+        salts = F.broadcast(counts.select(column, F.ceil(F.col("n") * HEAVY / F.lit(total)).cast("int").alias("salts")))
+        left = out.join(salts, column, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(a, b), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+        right = members.toDF(column, name).join(salts, column, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        out = left.join(right.drop("salts"), [column, "salt"]).drop("salt")
     return out.select(a, b, "set_a", "set_b")
 
 
@@ -288,8 +302,15 @@ def _candidates(star: DataFrame, component: DataFrame, percent: int, stash: Stas
     rank = F.col("alone") + F.col("k") + 1
     t = t.filter(rank <= F.col("n") - F.ceil((F.col("bound") + least) / scale) + 1)
     t = stash.put(t.select("hub", F.col("token.e").alias("e"), "level", F.col("c.other").alias("other"), "id", "of_id", "bound", "n"), "tokens")
-    x = t.filter("level > 0").toDF("hub", "e", "level", "other", "v", "of_v", "bound_v", "n_v")
-    y = t.toDF("hub", "e", "other", "level", "u", "of_u", "bound_u", "n_u")
+    key = ["hub", "e", "level", "other"]
+    # components meet first, each with its least bound and largest delta, so that none is paired with itself
+    whole = t.groupBy(*key, "of_id").agg(F.min("bound").alias("bound"), F.max("n").alias("n"))
+    x = whole.filter("level > 0").toDF(*key, "of_v", "bound_v", "n_v")
+    y = whole.toDF("hub", "e", "other", "level", "of_u", "bound_u", "n_u")
     fits = (F.col("bound_v") + F.col("bound_u")) <= scale * F.least("n_v", "n_u")
-    pairs = x.join(y, ["hub", "e", "level", "other"]).filter((F.col("of_v") != F.col("of_u")) & ((F.col("other") == 0) | (F.col("v") > F.col("u"))) & fits)
+    apart = (F.col("of_v") != F.col("of_u")) & ((F.col("other") == 0) | (F.col("of_v") > F.col("of_u")))
+    meet = stash.put(x.join(y, key).filter(apart & fits).select(*key, "of_v", "of_u"), "meet")
+    v = t.select(*key, F.col("of_id").alias("of_v"), F.col("id").alias("v"), F.col("bound").alias("bound_v"), F.col("n").alias("n_v"))
+    u = t.select("hub", "e", F.col("level").alias("other"), F.col("other").alias("level"), F.col("of_id").alias("of_u"), F.col("id").alias("u"), F.col("bound").alias("bound_u"), F.col("n").alias("n_u"))
+    pairs = meet.join(v, [*key, "of_v"]).join(u, [*key, "of_u"]).filter(fits)
     return pairs.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct()

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -79,6 +80,22 @@ def test_near_duplicates(spark, width):
     assert superminhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_related_groups_of_near_copies(spark):
+    """Two large groups whose members share a bucket but no link: time grows with the groups, not their square."""
+    rng = np.random.default_rng(10)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    other = base[:160] + [f"x{i}" for i in range(40)]
+    rows = []
+    for i in range(12_000):
+        w = list(base if i % 2 else other)
+        w[int(rng.integers(0, 150))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.time()
+    out = superminhash.near_duplicates(d, width=5).groupBy("component_id").count().collect()
+    assert {tuple(r) for r in out} == {(0, 6000), (1, 6000)} and time.time() - began < 120
+
+
 def test_near_duplicates_of_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in superminhash.near_duplicates(d, width=4).collect()}
