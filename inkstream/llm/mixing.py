@@ -28,7 +28,10 @@ MAX_REPEATS = 2
 MAX_PATTERNS = 200_000
 #: Cost of a pattern's k-th repetition of its words; increasing, so the flow is convex.
 REPEAT_COSTS = (0, 10, 30, 60, 100)
+#: The seeded order's bits, and those by which a level refines it.
+HASH_BITS = 60
 CELL_BITS = 12
+SEED = 17
 
 
 def word_count(text: Column) -> Column:
@@ -124,7 +127,9 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, repeats: int = MAX
 
 
 def _hash(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).bitwiseAND(F.lit((1 << 62) - 1))
+    """HASH_BITS of a digest of seed, id and text."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), "text").cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _name(sources: Column) -> Column:
@@ -132,7 +137,7 @@ def _name(sources: Column) -> Column:
     return F.to_json(F.sort_array(F.array_distinct(sources)))
 
 
-def mix(docs: DataFrame, sources: Column | None = None, seed: int = 17, share: float = OVERSAMPLE) -> DataFrame:
+def mix(docs: DataFrame, sources: Column | None = None, seed: int = SEED, share: float = OVERSAMPLE) -> DataFrame:
     """(doc_id, size, source_size, target, taken, pattern) for each row of ``docs`` (doc_id, text, source).
 
     ``sources`` is an array column of the sources a document belongs to; by default
@@ -195,7 +200,7 @@ def _cuts(base: DataFrame, plan: DataFrame, stash: Stash) -> DataFrame:
     """
     state = plan.filter("rest > 0").select("pattern", F.col("rest").alias("room"))
     base = base.select("pattern", "h", "size")
-    for shift in range(62 - CELL_BITS, -1, -CELL_BITS):
+    for shift in range(HASH_BITS - CELL_BITS, -1, -CELL_BITS):
         last = shift < CELL_BITS
         cells = base.join(F.broadcast(state), "pattern").groupBy("pattern", "room", F.shiftright("h", 0 if last else shift).alias("cell")).agg(F.sum("size").alias("size"))
         lists = cells.groupBy("pattern", "room").agg(F.sort_array(F.collect_list(F.struct("cell", "size"))).alias("cells"))
