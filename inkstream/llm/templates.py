@@ -12,9 +12,10 @@ hashed with their values, so that they match verbatim, and with other values the
 continue a run from a literal window beside them, token by token: a literal window
 carries the placeholder-heavy tokens next to it (at most an item's length).
 
-The documents are read once.  If the benchmark has at most ``LOOKUP`` distinct window
-hashes (checked by a count), they go to the tasks, which then emit matching windows
-only; with more, all windows are emitted and the same join does the filtering.
+The documents are read once.  Tasks get a bitmap of the benchmark's window hashes, of
+``BITS_EACH`` bits a hash and at most ``MOST_BITS``, and emit the windows that it lets pass;
+the hash join then settles which match.  Items of one template are told apart by their
+values: each is compared with a text on its own, and only equal ones are one.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ from inkstream.llm._stash import Stash
 WIDTH = 8
 #: A run of this many tokens, or all of a shorter item but one, is a leak.
 RUN = 13
+#: Bits of the bitmap that are set together.
+CELL_BITS = 17
 SHORTEST = 3
-LOOKUP = 4_000_000
+#: Bits of the bitmap for each of the benchmark's window hashes, and of the whole (128 MB).
+BITS_EACH = 16
+MOST_BITS = 30
 #: Diagonals turned into Python objects at once.
 JUDGED = 256
 #: Units that follow a number.
@@ -44,12 +49,12 @@ UNITS = (
 
 _CORE = np.zeros(256, bool)
 _CORE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100), 0x25]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?:;"]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?:;"]] = True
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x4E554D, 0x554E4954, 0x4E414D45))
 _unit_hashes: np.ndarray | None = None
 
@@ -63,16 +68,18 @@ def _units() -> np.ndarray:
     return _unit_hashes
 
 
-def template_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template, value, first): per token its template and, for placeholders, a hash of its value (else 0).
+def template_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template, value, slot, first): per token its template and, for placeholders, a hash of its value (else 0) and whether it surely is one.
 
     A token is a word without punctuation around it, A-Z in lower case; words of
-    punctuation alone are left out.  A name is a capitalised word inside a sentence.
+    punctuation alone are left out.  A name is a capitalised word, at a sentence's start
+    too: where it is "The", its value is the same in a copy, and where it is "Tom", it is
+    the name that stands inside the sentence.  It is not surely one there.
     """
     starts, ends, first = _text.word_bounds(data, offs)
     core = np.flatnonzero(_CORE[data])
     if not len(core) or not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(len(offs), np.int64)
     low, high = np.searchsorted(core, starts), np.searchsorted(core, ends)
     some = high > low
     begin, end = core[np.minimum(low, len(core) - 1)], core[np.maximum(high - 1, 0)] + 1
@@ -90,13 +97,13 @@ def template_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     after[1:] = number[:-1] & (own[1:] == own[:-1])
     unit = after & np.isin(value, _units())
     accent = (data[begin] == 0xC3) & (data[np.minimum(begin + 1, len(data) - 1)] < 0x9F)
-    name = (_UPPER[data[begin]] | accent) & ~fresh & ~number & ~unit
+    name = (_UPPER[data[begin]] | accent) & ~number & ~unit
     template[number], template[unit], template[name] = NUMBER, UNIT, NAME
     value[~(number | unit | name)] = 0
-    return template, value, np.searchsorted(own, np.arange(len(offs)))
+    return template, value, number | unit | name & ~fresh, np.searchsorted(own, np.arange(len(offs)))
 
 
-def _windows(template: np.ndarray, value: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(template: np.ndarray, value: np.ndarray, slot: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First tokens and hashes of windows in one text, and of all first tokens whether the window is mostly placeholders.
 
     Those windows are hashed with their values, the others as templates.
@@ -104,7 +111,7 @@ def _windows(template: np.ndarray, value: np.ndarray, own: np.ndarray, width: in
     n = len(template) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    slots = np.concatenate([[0], np.cumsum(value != 0)])
+    slots = np.concatenate([[0], np.cumsum(slot)])
     inside = own[:n] == own[width - 1 :]
     heavy = inside & (2 * (slots[width:] - slots[:n]) > width)
     h = _text.window_hashes(template, width)
@@ -130,8 +137,40 @@ def _lists(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[place].view(np.int64)))
 
 
+def _bitmap(bits: int):
+    """Window hashes, sorted by their first bits, to rows of (cell, its bits set)."""
+
+    def run(batches):
+        cell, hit = None, None
+        for batch in batches:
+            slot = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            cells = (slot >> np.uint64(CELL_BITS)).astype(np.int64)
+            for c in np.unique(cells).tolist():
+                if c != cell and cell is not None:
+                    yield pa.RecordBatch.from_pydict({"cell": [cell], "bits": [np.packbits(hit, bitorder="little").tobytes()]})
+                if c != cell:
+                    cell, hit = c, np.zeros(1 << CELL_BITS, bool)
+                hit[(slot[cells == c] & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)] = True
+        if cell is not None:
+            yield pa.RecordBatch.from_pydict({"cell": [cell], "bits": [np.packbits(hit, bitorder="little").tobytes()]})
+
+    return run
+
+
+def known_hashes(hashes: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, bitmap) of a table of hashes ``h``: bit i is set if a hash starts with the bits of i."""
+    bits = min(max((hashes.count() * BITS_EACH).bit_length(), CELL_BITS + 1), MOST_BITS)
+    cell = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - bits + CELL_BITS))
+    rows = hashes.repartition(cell).sortWithinPartitions(cell).mapInArrow(_bitmap(bits), "cell long, bits binary").collect()
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in rows:
+        at = r.cell << CELL_BITS >> 3
+        out[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return bits, out
+
+
 def _emit(widths: tuple[int, ...], known, whole: bool, reach: int):
-    """(id, text) to (h, id, at, values, tokens, lead, t, v); ``known`` broadcasts the sorted hashes to keep.
+    """(id, text) to (h, id, at, values, tokens, lead, t, v); ``known`` broadcasts the bitmap of hashes to keep.
 
     ``t`` and ``v`` are templates and values of a literal window with the heavy tokens
     beside it, ``lead`` of them before it; empty if there are none.
@@ -142,17 +181,15 @@ def _emit(widths: tuple[int, ...], known, whole: bool, reach: int):
     def run(batches):
         keep = known.value if known is not None else None
         for batch, data, offs in _text.chunks(batches):
-            template, value, first = template_tokens(data, offs)
+            template, value, slot, first = template_tokens(data, offs)
             own, counts = _text.owner(first), np.diff(first)
             for width in widths:
-                at, h, heavy = _windows(template, value, own, width)
+                at, h, heavy = _windows(template, value, slot, own, width)
                 if whole:
                     hit = (counts[own[at]] == width) | (width == WIDTH)
-                elif keep is not None:
-                    place = np.minimum(np.searchsorted(keep, h), max(len(keep) - 1, 0))
-                    hit = keep[place] == h if len(keep) else np.zeros(len(h), bool)
                 else:
-                    hit = np.ones(len(h), bool)
+                    bit = (h >> np.uint64(64 - keep[0])).astype(np.int64)
+                    hit = (keep[1][bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 at, h = at[hit], h[hit]
                 if len(at):
                     before, after = _beside(heavy, at, width, reach)
@@ -237,14 +274,14 @@ def _judge(run_tokens: int):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, run_tokens: int = RUN, lookup: int = LOOKUP) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, run_tokens: int = RUN) -> DataFrame:
     """(doc_id, item_id, run_tokens, changed_slots): documents with a passage of a benchmark item.
 
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text.  Items with the same
-    template are one, named by their least id, unless they differ in the values of
-    placeholder-heavy windows.  Passages with other values are found if they have a
-    window that is at least half literal, verbatim ones always.  ``run_tokens`` is the longest run and
-    ``changed_slots`` how many of its values differ from the item's (0: verbatim).
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text.  Every item of a template
+    is compared on its own, so a document is linked to all that its passage fits.  Passages
+    with other values are found if they have a window that is at least half literal,
+    verbatim ones always.  ``run_tokens`` is the longest run and ``changed_slots`` how many
+    of its values differ from the item's (0: verbatim).  Whole texts of any length are read.
     Null and empty texts match nothing, nor do items of fewer than three tokens; null
     ids are left out; repeated rows give one row; extra columns are ignored; an empty
     table on either side gives an empty result.
@@ -255,10 +292,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, run_tokens: int = RUN, lookup:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null")
     widths = tuple(range(SHORTEST, WIDTH + 1))
     windows = items.mapInArrow(_emit(widths, None, True, 1 << 30), kind)
-    # items with one template: the same windows at the same places
-    windows = stash.put(windows.groupBy("id", "tokens").agg(F.sort_array(F.collect_list(F.struct("at", "h", "vals", "lead", "t", "v"))).alias("w")), "items")
-    one = windows.withColumn("template", F.sha2(F.to_json(F.transform("w", lambda x: x["h"])), 256))
-    one = one.groupBy("template", "tokens").agg(F.min(F.struct("id", "w")).alias("r"))
+    windows = windows.groupBy("id", "tokens").agg(F.sort_array(F.collect_list(F.struct("at", "h", "vals", "lead", "t", "v"))).alias("w"))
+    # items with the same windows and values are one, named by their least id
+    words = F.sha2(F.to_json(F.transform("w", lambda x: F.struct(x["at"], x["h"], x["vals"]))), 256)
+    windows = stash.put(windows.withColumn("words", words), "items")
+    one = windows.groupBy("words", "tokens").agg(F.min(F.struct("id", "w")).alias("r"))
+    equal = windows.select("words", F.col("id").alias("item_id")).join(one.select("words", F.col("r.id").alias("first")), "words").select("first", "item_id").distinct()
     wide = lambda x: F.struct(*(x[k].alias(k) for k in ("lead", "t", "v")))
     items = stash.put(
         one.select(F.explode("r.w").alias("x"), F.col("r.id").alias("item_id"), "tokens").select(
@@ -266,13 +305,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, run_tokens: int = RUN, lookup:
         ),
         "windows",
     )
-    hashes = items.select("h").distinct()
-    known = None
     used = tuple(sorted(r[0] for r in items.select(F.size("b")).distinct().collect())) or (WIDTH,)
     # no run is longer than its item
     reach = items.agg(F.max("tokens")).first()[0] or 0
-    if hashes.count() <= lookup:
-        known = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in hashes.collect()], dtype=np.int64).view(np.uint64)))
+    known = spark.sparkContext.broadcast(known_hashes(items.select("h").distinct()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     found = texts.mapInArrow(_emit(used, known, False, reach), kind)
     found = found.select("h", F.col("id").alias("doc_id"), "at", F.col("vals").alias("d"), F.struct("lead", "t", "v").alias("ours")).join(items, "h").filter(F.size("d") == F.size("b"))
@@ -282,5 +318,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, run_tokens: int = RUN, lookup:
         F.sort_array(F.collect_set(F.struct("at", "b", "d", F.when(both, F.col("ours")).alias("ours"), F.when(both, F.col("theirs")).alias("theirs")))).alias("matches")
     )
     judged = runs.select("doc_id", "item_id", "tokens", "matches").mapInArrow(_judge(run_tokens), "doc_id long, item_id long, run_tokens long, changed_slots long")
-    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("run_tokens", -F.col("changed_slots"))).alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.run_tokens").alias("run_tokens"), (-F.col("m.col2")).alias("changed_slots"))
+    best = judged.groupBy("doc_id", F.col("item_id").alias("first")).agg(F.max(F.struct("run_tokens", -F.col("changed_slots"))).alias("m"))
+    return best.join(equal, "first").select("doc_id", "item_id", F.col("m.run_tokens").alias("run_tokens"), (-F.col("m.col2")).alias("changed_slots"))

@@ -334,10 +334,9 @@ def test_templates(spark):
     ]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "tokens": F.lit(1)})
     bench = spark.createDataFrame([(7, item), (8, item), (9, "two words"), (10, None)], "item_id long, text string")
-    want = {(1, 7, 4), (2, 7, 0)}
-    for lookup in (templates.LOOKUP, 0):
-        got = {(r.doc_id, r.item_id, r.changed_slots) for r in templates.leaks(d, bench, lookup=lookup).collect()}
-        assert {g for g in got if g[0] != 5} == want
+    want = {(1, 7, 5), (2, 7, 0), (1, 8, 5), (2, 8, 0)}
+    got = {(r.doc_id, r.item_id, r.changed_slots) for r in templates.leaks(d, bench).collect()}
+    assert {g for g in got if g[0] != 5} == want
     assert templates.leaks(d.limit(0), bench).count() == 0 and templates.leaks(d, bench.limit(0)).count() == 0
 
 
@@ -357,10 +356,77 @@ def test_templates_full_of_placeholders(spark):
     clean = ["Add 12, 15, 18, 21, 24, 30, 36", "What comes next: 3, 6, 12, 24, 48, 96, 192?", " ".join(map(str, range(500))), "Find the median of 1, 2, 2, 2, 2, 2, 2, 2, 2, 2 and 2."]
     d = spark.createDataFrame([(i, f"some words before. {t} and after") for i, t in enumerate(items + other + clean)], "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for lookup in (templates.LOOKUP, 0):
-        got = {(r.doc_id, r.item_id): r.changed_slots for r in templates.leaks(d, bench, lookup=lookup).collect()}
-        assert got == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 0): 2, (5, 1): got.get((5, 1)), (6, 2): 0} and got[5, 1] > 5
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in templates.leaks(d, bench).collect()}
+    assert got == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 0): 2, (5, 1): got.get((5, 1)), (6, 2): 0} and got[5, 1] > 5
+
+
+def test_items_of_one_template(spark):
+    """A copy of one item is linked to it verbatim and to the template's others by their values."""
+    text = "{0} has {1} apples. {0} eats {2} of them with {3} every day of the week. How many are left?"
+    bench = spark.createDataFrame([(1, text.format("Ann", 7, 3, "Bob")), (2, text.format("Tom", 5, 2, "Sue")), (3, text.format("Tom", 5, 2, "Sue")), (4, text.format("Tom", 4, 4, "Sue")), (5, "2 + 3 = 5 and 7 + 8 = 15 and 1 + 9 = 10 and 4 + 4 = 8")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "We read: " + text.format("Tom", 5, 2, "Sue")), (2, text.format("Eva", 9, 9, "Jim")), (3, "so 2 + 3 = 5 and 7 + 8 = 15 and 1 + 9 = 10 and 4 + 4 = 8 it is")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in templates.leaks(docs, bench).collect()}
+    assert {k: v for k, v in got.items() if v == 0} == {(1, 2): 0, (1, 3): 0, (3, 5): 0}
+    assert got[1, 1] == 4 and (2, 1) in got and got[2, 4] == 3
+
+
+def brute_tokens(text):
+    """(template, value) of each token, by a plain loop."""
+    out, after = [], False
+    for w in words(text):
+        w = w.encode()
+        core = [i for i, b in enumerate(w) if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 or b == 0x25]
+        if not core:
+            continue
+        w = w[core[0] : core[-1] + 1].decode()
+        low = "".join(c.lower() if c.isascii() else c for c in w)
+        number = w[0] in "0123456789"
+        if number or (after and low in templates.UNITS) or "A" <= w[0] <= "Z" or "À" <= w[0] <= "Þ":
+            out.append(("#" if number else "u" if after and low in templates.UNITS else "n", low))
+        else:
+            out.append((low, None))
+        after = number
+    return out
+
 
+def brute_leak(doc, item):
+    """Longest consistent run of a text against an item without placeholder-heavy windows; 0 if too short."""
+    d, b, best = brute_tokens(doc), brute_tokens(item), 0
+    width = min(templates.WIDTH, len(b))
+    if width < templates.SHORTEST:
+        return 0
+    for shift in range(-len(b), len(d)):
+        same = {i for i in range(len(b)) if 0 <= i + shift < len(d) and d[i + shift][0] == b[i][0] and (d[i + shift][1] is None) == (b[i][1] is None)}
+        window = [i for i in range(len(b) - width + 1) if all(i + k in same for k in range(width))]
+        covered = {i + k for i in window for k in range(width)}
+        for low in covered:
+            there, back, high = {}, {}, low
+            while high in covered:
+                x, y = b[high][1], d[high + shift][1]
+                if x is not None and (there.setdefault(x, y) != y or back.setdefault(y, x) != x):
+                    break
+                high += 1
+                if any(low <= i and i + width <= high for i in window):
+                    best = max(best, high - low)
+    return best if best >= max(templates.SHORTEST, min(templates.RUN, len(b) - 1)) else 0
+
+
+def test_slot_consistency_by_brute_force(spark):
+    rng = np.random.default_rng(13)
+    plain, names = [f"w{c}" for c in "abcdefgh"], ["Ann", "Bob", "Zoë", "Élan"]
+    fill = lambda: str(rng.choice(names)) if rng.random() < 0.5 else str(rng.integers(1, 4))
+    items = []
+    for _ in range(25):  # a placeholder at most at every third token
+        items.append(" ".join(fill() if i % 3 == 2 and rng.random() < 0.7 else str(rng.choice(plain)) for i in range(int(rng.integers(3, 26)))))
+    docs = []
+    for _ in range(120):
+        w = items[int(rng.integers(0, len(items)))].split()
+        swap = {x: fill() if rng.random() < 0.5 else x for x in w if x not in plain}
+        w = [swap.get(x, x) if rng.random() < 0.97 else str(rng.choice(plain)) for x in w]
+        docs.append(" ".join([str(rng.choice(plain))] * int(rng.integers(0, 3)) + w + [str(rng.choice(plain))]))
+    got = {(r.doc_id, r.item_id): r.run_tokens for r in templates.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    want = {(i, j): n for i, d in enumerate(docs) for j, b in enumerate(items) if (n := brute_leak(d, b))}
+    assert len(want) > 40 and got == want
 
 def test_whole_licenses(spark):
     gpl = """# This program is free software: you can redistribute it and/or modify
