@@ -267,6 +267,39 @@ def test_forward_sums_segmentations():
     assert np.isclose(sum(uses[i] * len(n) for i, n in enumerate(names)), 8)
 
 
+def test_runs_of_any_length():
+    """The sums over runs of up to thousands of bytes, swept together or alone, against a plain recursion in logarithms."""
+    rng = np.random.default_rng(14)
+    names = sorted({b"a", b"b", b"c"} | {bytes(rng.choice(list(b"abc"), int(n))) for n in rng.integers(2, 12, 40)})
+    pieces, prob = langid.Pieces(names), np.append(rng.dirichlet(np.ones(len(names)), 2).T, [[0, 0]], axis=0)
+    texts = ["".join(rng.choice(list("abc"), n)) for n in (1, 5, 30, 300, 700, langid.ALONE_BYTES, langid.ALONE_BYTES + 1, 20_000)]
+    runs = langid.Runs(*langid._text.text_buffer(langid.pa.array(texts)), pieces)
+    got = runs.likelihood(prob)[runs.back]
+    index = {n: i for i, n in enumerate(names)}
+    for text, have in zip(texts, got):
+        for k in range(2):
+            alpha = [0.0]
+            for j in range(1, len(text) + 1):
+                terms = [alpha[j - s] + np.log(prob[index[w], k]) for s in pieces.lengths if s <= j and (w := text[j - s : j].encode()) in index]
+                alpha.append(np.logaddexp.reduce(terms))
+            assert have[k] == pytest.approx(alpha[-1], rel=1e-9)
+
+
+def test_language_predictions(spark):
+    """Predictions equal the languages of greatest summed likelihood, and runs are cut between letters in the fit alone."""
+    import public_tokenizers
+
+    names = langid.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    pieces = langid.Pieces(names)
+    assert max(map(len, names)) > 20
+    data, offs = langid._text.text_buffer(langid.pa.array(["日本語" * 50 + " ünä" * 20]))
+    assert all(w.decode() for w in langid.Runs(data, offs, pieces, 64).words()) and langid.Runs(data, offs, pieces).longest == 450
+    rows = [(i, t * (1 + i % 3), g) for i, (t, g) in enumerate([("the cat sat on the mat ", "en"), ("der hund und die katze ", "de"), ("これは日本語の文章です", "ja"), ("le chat est sur la table ", "fr")] * 40)]
+    rows += [(1000, "これは日本語の文章です" * 3000, None), (1001, "a" * 100_000, None), (1002, "DER HUND", None)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == g for i, _, g in rows if g) and got[1000] == "ja" and got[1002] == "de"
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     clean = ["lorem", "ipsum", "dolor", "amet", "sit", "elit", "magna", "aliqua", "veniam", "quis"]
