@@ -70,5 +70,9 @@ def burst_verdict(count, samples, mean, stdev, last_fired, now, z_threshold: flo
 def cluster_score(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """(total, shingles, entities, title): weighted set similarities of an article and a story."""
     parts = {k: jaccard(a[k], b[k]) for k in WEIGHTS}
-    total = sum((F.lit(w) * parts[k] for k, w in WEIGHTS.items()), F.lit(0.0))
-    return F.struct(total.alias("total"), *(v.alias(k) for k, v in parts.items()))
+    return F.struct(weighted(parts).alias("total"), *(v.alias(k) for k, v in parts.items()))
+
+
+def weighted(parts: dict[str, Column]) -> Column:
+    """The weighted sum of set similarities."""
+    return sum((F.lit(w) * parts[k] for k, w in WEIGHTS.items()), F.lit(0.0))

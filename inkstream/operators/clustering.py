@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstream.functions.dates import HOUR_MS
-from inkstream.functions.scores import CENTROID_FREEZE_MEMBERS, CLUSTER_WINDOW_HOURS, JOIN_THRESHOLD, WEIGHTS, cluster_score
+from inkstream.functions.scores import CENTROID_FREEZE_MEMBERS, CLUSTER_WINDOW_HOURS, JOIN_THRESHOLD, WEIGHTS, weighted
 from inkstream.functions.text import entities, shingle_set, tokens_norm
 
 PENDING = 200
@@ -20,18 +20,28 @@ def features(articles: DataFrame, title: str = "title", body: str = "body") -> D
     return articles.withColumns({"shingles": shingle_set(F.concat_ws(" ", t, b)), "entities": entities(t, b), "title_tokens": F.sort_array(F.array_distinct(tokens_norm(t)))})
 
 
-def best_story(articles: DataFrame, stories: DataFrame, now: int, window_hours: int = CLUSTER_WINDOW_HOURS, threshold: float = JOIN_THRESHOLD, pending: int = PENDING) -> DataFrame:
+def best_story(articles: DataFrame, stories: DataFrame, now: int, window_hours: int = CLUSTER_WINDOW_HOURS, threshold: float = JOIN_THRESHOLD, pending: int | None = PENDING) -> DataFrame:
     """(article_id, story_id, score): each pending article's best story as stories are now.
 
-    The first ``pending`` articles by (published_at, id) go to every task; stories are
-    scored where they lie, and the best per article is a partial-aggregated minimum.
+    ``pending`` bounds the articles to the first by (published_at, id), None takes all.
+    Sets meet by an equi-join of their elements, whose counts are the intersections; the
+    best per article is a partial-aggregated minimum.
     """
-    cols = {"shingles": "shingles", "entities": "entities", "title": "title_tokens"}
-    a = articles.orderBy("published_at", "id").limit(pending).select(F.col("id").alias("article_id"), *(F.col(c).alias(f"a_{c}") for c in cols.values()))
+    a = articles if pending is None else articles.orderBy("published_at", "id").limit(pending)
     s = stories.filter(F.col("last_seen_at") >= now - window_hours * HOUR_MS)
-    pairs = s.join(F.broadcast(a), F.arrays_overlap("shingles", "a_shingles") | F.arrays_overlap("entities", "a_entities") | F.arrays_overlap("title_tokens", "a_title_tokens"))
-    scored = pairs.withColumn("score", cluster_score({k: F.col(f"a_{c}") for k, c in cols.items()}, {k: F.col(c) for k, c in cols.items()}))
-    best = scored.filter(F.col("score.total") >= threshold).groupBy("article_id").agg(F.min(F.struct((-F.col("score.total")).alias("t"), F.col("id").alias("story_id"), "score")).alias("b"))
+    kinds = {"shingles": "shingles", "entities": "entities", "title": "title_tokens"}
+
+    def elements(df: DataFrame, key: str) -> DataFrame:
+        sets = F.array(*(F.struct(F.lit(k).alias("kind"), F.array_distinct(F.col(c)).alias("e")) for k, c in kinds.items()))
+        each = df.select(F.col("id").alias(key), F.explode(sets).alias("s"))
+        return each.select(key, F.col("s.kind").alias("kind"), F.size("s.e").alias(f"n_{key}"), F.explode("s.e").alias("e"))
+
+    both = elements(a, "article_id").join(elements(s, "story_id"), ["kind", "e"])
+    common = both.groupBy("article_id", "story_id", "kind").agg(F.count("*").alias("n"), F.first("n_article_id").alias("x"), F.first("n_story_id").alias("y"))
+    share = F.col("n") / (F.col("x") + F.col("y") - F.col("n"))
+    parts = common.groupBy("article_id", "story_id").agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, share)), F.lit(0.0)).alias(k) for k in kinds))
+    scored = parts.select("article_id", "story_id", F.struct(weighted({k: F.col(k) for k in kinds}).alias("total"), *kinds).alias("score")).filter(F.col("score.total") >= threshold)
+    best = scored.groupBy("article_id").agg(F.min(F.struct((-F.col("score.total")).alias("t"), "story_id", "score")).alias("b"))
     return best.select("article_id", F.col("b.story_id").alias("story_id"), F.col("b.score").alias("score"))
 
 
@@ -76,18 +86,20 @@ def cluster_pass(
 ) -> DataFrame:
     """Exact sequential assignment of the first ``pending`` unclustered articles of each workspace.
 
-    A pass is bounded by ``pending``, and of the stories only those that share a set
-    element with it take part, so a group is small.  Stories have no title of their own
-    unless ``use_titles``.
+    Each assignment depends on the ones before it, so a workspace is one task: of at most
+    ``pending`` articles and the stories that can be joined, which are those that share a
+    shingle with one of them (other overlap alone stays under the threshold), or with
+    ``use_titles`` any element.  Stories have no title of their own unless ``use_titles``.
     """
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("workspace_id").orderBy("published_at", "id")
     p = articles.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= pending).drop("nth")
     p = p.select("workspace_id", "id", "published_at", "fetched_at", "shingles", "entities", "title_tokens")
-    wanted = p.select("workspace_id", F.explode(F.concat("shingles", "entities", "title_tokens")).alias("e")).distinct()
+    shared = F.concat("shingles", "entities", "title_tokens") if use_titles or WEIGHTS["entities"] >= threshold else F.col("shingles")
+    wanted = p.select("workspace_id", F.explode(shared).alias("e")).distinct()
     s = stories.toDF(*stories.columns).filter(F.col("last_seen_at") >= now - window_hours * HOUR_MS)
-    has = s.select("workspace_id", "id", F.explode(F.concat("shingles", "entities", "title_tokens")).alias("e"))
+    has = s.select("workspace_id", "id", F.explode(shared).alias("e"))
     s = s.join(has.join(wanted, ["workspace_id", "e"]).select("workspace_id", "id").distinct(), ["workspace_id", "id"], "left_semi")
     s = s.select("workspace_id", "id", "last_seen_at", "member_count", "shingles", "entities", "title_tokens")
 

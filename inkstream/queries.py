@@ -399,7 +399,7 @@ def latest_match(spark, d):
 _SETS = "list_distinct({0}) as w"
 _FEAT = f"""{ARTICLES}, x as (select id, published_at, source_id, {TOKENS.format('body')} as w, list_distinct({TOKENS.format('title')}) as t from art),
  g as (select id, published_at, source_id, t, case when len(w) < 3 then list_distinct(w) else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from x),
- st as (select id as sid, s as ss, t as ts from g where id in (select min(id) from g group by source_id)), p as (select * from g order by published_at, id limit 200),
+ st as (select id as sid, s as ss, t as ts from g where id in (select min(id) from g group by source_id)), p as (select * from g),
  sc as (select id, sid, case when len(s) = 0 or len(ss) = 0 then 0 else len(list_intersect(s, ss)) / (len(s) + len(ss) - len(list_intersect(s, ss)))::double end as a,
  case when len(t) = 0 or len(ts) = 0 then 0 else len(list_intersect(t, ts)) / (len(t) + len(ts) - len(list_intersect(t, ts)))::double end as b from p, st)"""
 
@@ -411,17 +411,16 @@ def _with_sets(a: DataFrame) -> DataFrame:
 
 
 def _seeds(spark, d):
-    """Pending articles and a story per source, each cut down before its sets are made."""
+    """All articles, and a story per source."""
     a = reads.load_articles(spark, d)
-    pending = a.orderBy("published_at", "id").limit(clustering.PENDING)
     first = a.groupBy("source_id").agg(F.min("id").alias("id")).select("id")
-    return _with_sets(pending), _with_sets(a.join(first, "id", "left_semi")).withColumn("last_seen_at", F.col("fetched_at"))
+    return _with_sets(a), _with_sets(a.join(first, "id", "left_semi")).withColumn("last_seen_at", F.col("fetched_at"))
 
 
 @query(f"with {_FEAT} select id as article_id, sid as story_id, round(total, 9) as score from (select id, sid, 0.6 * a + 0.25 * b as total, row_number() over (partition by id order by 0.6 * a + 0.25 * b desc, sid) as r from sc where 0.6 * a + 0.25 * b >= 0.17) where r = 1")
 def cluster_best_story(spark, d):
     f, stories = _seeds(spark, d)
-    best = clustering.best_story(f, stories, 0)
+    best = clustering.best_story(f, stories, 0, pending=None)
     return best.select("article_id", "story_id", F.round("score.total", 9).alias("score"))
 
 
