@@ -50,13 +50,21 @@ def _overlap(a: set, b: set) -> float:
 
 
 def replay(pending: pd.DataFrame, stories: pd.DataFrame, now: int, window_hours: int, threshold: float, freeze: int, use_titles: bool) -> pd.DataFrame:
-    """One pass in order: each article joins the best story as earlier ones have left it, or opens one."""
+    """One pass in order: each article joins the best story as earlier ones have left it, or opens one.
+
+    A duplicate takes its original's story, from ``original_story`` or this pass, and changes nothing in it.
+    """
     live = {
         r.id: {"shingles": set(r.shingles), "entities": set(r.entities), "title": set(r.title_tokens) if use_titles else set(), "n": r.member_count, "seen": r.last_seen_at}
         for r in stories.itertuples()
     }
-    out = []
+    out, placed = [], {}
     for a in pending.sort_values(["published_at", "id"]).itertuples():
+        given = next((x for x in (a.original_story, placed.get(a.duplicate_of)) if isinstance(x, str)), None)
+        if given:
+            placed[a.id] = given
+            out.append((a.workspace_id, a.id, given, False, True, 0.0))
+            continue
         own = {"shingles": set(a.shingles), "entities": set(a.entities), "title": set(a.title_tokens)}
         rated = []
         for sid, s in live.items():
@@ -72,12 +80,13 @@ def replay(pending: pd.DataFrame, stories: pd.DataFrame, now: int, window_hours:
                 s["shingles"] |= own["shingles"]
             s["n"] += 1
             s["seen"] = max(s["seen"], a.fetched_at)
-            out.append((a.workspace_id, a.id, sid, False, -total))
+            out.append((a.workspace_id, a.id, sid, False, False, -total))
         else:
             sid = f"st_{a.id}"
             live[sid] = {"shingles": own["shingles"], "entities": own["entities"], "title": set(), "n": 1, "seen": a.fetched_at}
-            out.append((a.workspace_id, a.id, sid, True, 0.0))
-    return pd.DataFrame(out, columns=["workspace_id", "article_id", "story_id", "opened", "score"])
+            out.append((a.workspace_id, a.id, sid, True, False, 0.0))
+        placed[a.id] = sid
+    return pd.DataFrame(out, columns=["workspace_id", "article_id", "story_id", "opened", "inherited", "score"])
 
 
 def cluster_pass(
@@ -95,7 +104,8 @@ def cluster_pass(
 
     w = Window.partitionBy("workspace_id").orderBy("published_at", "id")
     p = articles.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= pending).drop("nth")
-    p = p.select("workspace_id", "id", "published_at", "fetched_at", "shingles", "entities", "title_tokens")
+    given = [F.col(c) if c in articles.columns else F.lit(None).cast("string").alias(c) for c in ("duplicate_of", "original_story")]
+    p = p.select("workspace_id", "id", "published_at", "fetched_at", "shingles", "entities", "title_tokens", *given)
     shared = F.concat("shingles", "entities", "title_tokens") if use_titles or WEIGHTS["entities"] >= threshold else F.col("shingles")
     wanted = p.select("workspace_id", F.explode(shared).alias("e")).distinct()
     s = stories.toDF(*stories.columns).filter(F.col("last_seen_at") >= now - window_hours * HOUR_MS)
@@ -107,7 +117,7 @@ def cluster_pass(
         return replay(mine, theirs, now, window_hours, threshold, freeze, use_titles)
 
     p, s = p.toDF(*p.columns), s.toDF(*s.columns)  # the two may share a source
-    return p.groupBy("workspace_id").cogroup(s.groupBy("workspace_id")).applyInPandas(run, "workspace_id string, article_id string, story_id string, opened boolean, score double")
+    return p.groupBy("workspace_id").cogroup(s.groupBy("workspace_id")).applyInPandas(run, "workspace_id string, article_id string, story_id string, opened boolean, inherited boolean, score double")
 
 
 def inherit_stories(articles: DataFrame) -> DataFrame:
@@ -116,6 +126,25 @@ def inherit_stories(articles: DataFrame) -> DataFrame:
     return articles.select("id", "duplicate_of", "story_id").join(o, "duplicate_of", "left").select("id", F.coalesce("theirs", "story_id").alias("story_id"))
 
 
+def fold_members(stories: DataFrame, joined: DataFrame, freeze: int = CENTROID_FREEZE_MEMBERS) -> DataFrame:
+    """Stories after a pass: entities of all members that ``joined`` (story_id, published_at, id, shingles, entities), shingles of those before the freeze."""
+    from pyspark.sql.window import Window
+
+    nth = F.row_number().over(Window.partitionBy("story_id").orderBy("published_at", "id"))
+    j = joined.withColumn("nth", nth).join(stories.select(F.col("id").alias("story_id"), "centroid_member_count"), "story_id")
+    each = F.concat(
+        F.transform("entities", lambda e: F.struct(F.lit("entities").alias("kind"), e.alias("e"))),
+        F.transform(F.when(F.col("centroid_member_count") + F.col("nth") - 1 < freeze, F.col("shingles")).otherwise(F.array().cast("array<string>")), lambda e: F.struct(F.lit("shingles").alias("kind"), e.alias("e"))),
+    )
+    sets = j.select("story_id", F.explode_outer(each).alias("x")).groupBy("story_id").agg(*(F.collect_set(F.when(F.col("x.kind") == k, F.col("x.e"))).alias(f"__{k}") for k in ("shingles", "entities")))
+    count = j.groupBy("story_id").agg(F.count("*").alias("__n"))
+    out = stories.join(sets.join(count, "story_id").withColumnRenamed("story_id", "id"), "id", "left")
+    union = lambda old, new: F.when(F.col(new).isNull(), F.col(old)).otherwise(F.sort_array(F.array_union(old, new)))
+    return out.withColumns(
+        {"centroid_shingles": union("centroid_shingles", "__shingles"), "entities": union("entities", "__entities"), "centroid_member_count": F.col("centroid_member_count") + F.coalesce("__n", F.lit(0))}
+    ).select(stories.columns)
+
+
 def fold_centroid(centroid, ents, features_shingles, features_entities, members, freeze: int = CENTROID_FREEZE_MEMBERS):
     """(shingles, entities) of a story after one more member."""
     c, e = F.col(centroid), F.col(ents)

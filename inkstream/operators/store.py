@@ -134,6 +134,102 @@ def latest_settings(log: DataFrame) -> DataFrame:
     return log.groupBy("workspace_id").agg(F.max_by("json", "at").alias("json"))
 
 
+#: A workspace's settings, with their types and defaults.
+SETTINGS = (
+    ("poll_interval_secs", "long", 900), ("brief_time", "string", None), ("brief_timezone", "string", None), ("item_cap", "long", 25), ("dedupe", "string", "standard"),
+    ("cluster_window_hours", "long", 72), ("join_threshold", "double", 0.42), ("centroid_k", "long", 20), ("rank_half_life_hours", "double", 12.0), ("burst_z_threshold", "double", 3.0),
+    ("burst_min_absolute", "long", 4), ("burst_cooldown_secs", "long", 21600), ("retention_days", "long", 90),
+)
+
+
+def settings_of(blobs: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Every workspace's settings from ``blobs`` (workspace_id, json): a missing field is its default.
+
+    A blob that does not parse, has a field of another type or an unknown ``dedupe``
+    counts as absent; a field that is null counts as missing.
+    """
+    schema = ", ".join(f"{n} {t}" for n, t, _ in SETTINGS) + ", __bad string"
+    known = F.coalesce(F.col("s.dedupe").isin("relaxed", "standard", "aggressive"), F.lit(True))
+    whole = F.col("s").isNotNull() & F.col("s.__bad").isNull() & known & (F.coalesce("s.poll_interval_secs", F.lit(0)) >= 0) & (F.coalesce("s.item_cap", F.lit(0)) >= 0)
+    parsed = blobs.select("workspace_id", F.from_json("json", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("s"))
+    parsed = parsed.select("workspace_id", F.when(whole, F.col("s")).alias("s"))
+    all_ = workspaces.select(F.col("id").alias("workspace_id")).join(parsed, "workspace_id", "left")
+    return all_.select("workspace_id", *(F.coalesce(f"s.{n}", F.lit(d).cast(t)).alias(n) for n, t, d in SETTINGS))
+
+
+def ensure_workspace(workspaces: DataFrame, id_: str, name: str, now: int) -> DataFrame:
+    """The workspaces, with the named one if it was not there."""
+    one = workspaces.sparkSession.createDataFrame([(id_, name.strip(), now)], "id string, name string, created_at long")
+    return workspaces.unionByName(one.join(workspaces.select("id"), "id", "left_anti").select("id", "name", "created_at"))
+
+
+def create_sources(new: DataFrame, stored: DataFrame, now: int) -> DataFrame:
+    """Sources whose feed is not subscribed to in their workspace yet, due at once."""
+    due = new.withColumn("next_fetch_at", F.lit(now).cast("long"))
+    return insert_new(due, stored, ["workspace_id", "feed_url"], ["title"])
+
+
+def create_topics(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Topics whose name is free in their workspace."""
+    return insert_new(new, stored, ["workspace_id", "name"], ["id"])
+
+
+def open_stories(firsts: DataFrame, now: int) -> DataFrame:
+    """A story around each first member (workspace_id, story_id, shingles, entities, source_id): born with its outlet reported."""
+    return firsts.select(
+        F.col("story_id").alias("id"), "workspace_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("summary"), F.sort_array("shingles").alias("centroid_shingles"),
+        F.lit(1).cast("long").alias("centroid_member_count"), F.sort_array("entities").alias("entities"), F.lit(1).cast("long").alias("article_count"), F.lit(1).cast("long").alias("source_count"),
+        F.lit(1).cast("long").alias("notified_source_count"), F.lit(False).alias("followed"), F.lit(now).cast("long").alias("first_seen_at"), F.lit(now).cast("long").alias("last_seen_at"),
+    )
+
+
+def set_prose(stories: DataFrame, prose: DataFrame) -> DataFrame:
+    """Stories with the title and summary that ``prose`` (id, title, summary) has for them; its nulls change nothing."""
+    new = prose.select("id", F.col("title").alias("__title"), F.col("summary").alias("__summary"))
+    out = stories.join(new, "id", "left")
+    return out.withColumns({"title": F.coalesce("__title", "title"), "summary": F.coalesce("__summary", "summary")}).select(stories.columns)
+
+
+def set_followed(stories: DataFrame, ids: DataFrame, followed: bool) -> DataFrame:
+    hit = stories.join(ids.select("id", F.lit(True).alias("__hit")).distinct(), "id", "left")
+    return hit.withColumn("followed", F.when(F.col("__hit"), F.lit(followed)).otherwise(F.col("followed"))).select(stories.columns)
+
+
+BURST_ARTICLES = 10
+
+
+def record_bursts(verdicts: DataFrame, log: DataFrame, workspace: str, now: int) -> DataFrame:
+    """Rows of the burst log for the verdicts that fired, each with its hour's latest articles."""
+    fired = verdicts.filter("verdict = 'burst'")
+    hour = log.filter((F.col("matched_at") >= now - HOUR_MS) & (F.col("matched_at") < now)).join(fired.select("topic_id"), "topic_id")
+    nth = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("matched_at"), "article_id"))
+    latest_ = hour.withColumn("n", nth).filter(F.col("n") <= BURST_ARTICLES).groupBy("topic_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "article_id"))), lambda x: x["article_id"]).alias("article_ids"))
+    return fired.join(latest_, "topic_id", "left").select(
+        F.concat(F.lit("bst_"), F.sha2(F.concat_ws("\n", "topic_id", F.lit(str(now))), 256)).alias("id"), F.lit(workspace).alias("workspace_id"), "topic_id", F.col("z").alias("z_score"), F.col("count").alias("match_count"),
+        F.col("mean").alias("baseline_mean"), F.col("stdev").alias("baseline_stdev"), "hour_of_day", "article_ids", F.lit(now).cast("long").alias("detected_at"),
+    )
+
+
+def record_brief(items: DataFrame, workspace: str, now: int, trigger: str = "manual") -> DataFrame:
+    """The row of a brief from its items (index, story_id, title, summary, and sources if there are any); bounded by their number."""
+    sources = "sources" if "sources" in items.columns else F.array().cast("array<struct<article_id:string,source:string,url:string>>").alias("sources")
+    listed = items.select("index", F.struct("story_id", "title", "summary", sources).alias("i")).agg(F.transform(F.sort_array(F.collect_list(F.struct("index", "i"))), lambda x: x["i"]).alias("items"))
+    return listed.select(
+        F.concat(F.lit("br_"), F.sha2(F.lit(f"{workspace}\n{now}"), 256)).alias("id"), F.lit(workspace).alias("workspace_id"), F.lit(now).cast("long").alias("generated_at"), F.lit(trigger).alias("trigger_kind"),
+        F.size("items").cast("long").alias("story_count"), F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc + F.size(x["sources"])).alias("article_count"), "items",
+    )
+
+
+def events(bursts: DataFrame, topics: DataFrame, grown: DataFrame, briefs: DataFrame) -> DataFrame:
+    """(event, payload): what a pass has to tell, as a table to deliver from."""
+    b = bursts.join(topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic")), "topic_id", "left")
+    breaking = F.struct("topic_id", "topic", F.col("match_count").alias("count"), "z_score", "baseline_mean", "hour_of_day", "article_ids", F.col("id").alias("burst_id"), "detected_at")
+    growing = F.struct(F.col("id").alias("story_id"), "title", "source_count", F.col("notified_source_count").alias("previous_source_count"), "article_count")
+    ready = F.struct(F.col("id").alias("brief_id"), "story_count", "article_count", "generated_at")
+    told = lambda df, name, payload: df.select(F.lit(name).alias("event"), F.to_json(payload).alias("payload"))
+    return told(b, "topic.breaking", breaking).unionByName(told(grown, "story.developing", growing)).unionByName(told(briefs, "brief.ready", ready))
+
+
 def rename(table: DataFrame, id_: str, **values) -> DataFrame:
     """Edit columns of one row."""
     return table.withColumns({k: F.when(F.col("id") == id_, F.lit(v)).otherwise(F.col(k)) for k, v in values.items()})

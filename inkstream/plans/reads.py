@@ -14,6 +14,9 @@ from inkstream.plans.topics import Node, document, matches
 SNAPSHOT_SIZE, SNAPSHOT_POOL, SNAPSHOT_HOURS, SNAPSHOT_TTL_S = 40, 400, 48, 3600
 BRIEF_STORIES, BRIEF_HOURS = 12, 24
 STORY_MEMBERS = 100
+BRIEFS_LISTED = 30
+#: Look-backs in hours that reads and agents may ask for, and what they get without asking.
+READ_HOURS, AGENT_HOURS, DEFAULT_HOURS = (1, 24 * 365), (1, 2160), 168
 EPOCH_MS = 1_704_067_200_000
 
 
@@ -77,6 +80,66 @@ def topic_feed(log: DataFrame, articles: DataFrame, topic_id: str, since: int, l
     return hits.join(articles, hits["article_id"] == articles["id"]).orderBy(F.desc("matched_at"), "id").limit(clamp_limit(limit, 100))
 
 
+def window_start(now: int, hours: int | None, default: int | None = DEFAULT_HOURS, bounds: tuple[int, int] = READ_HOURS) -> int | None:
+    """Start of a look-back of so many hours, clamped to ``bounds``; None asks for the default, of which None is no start."""
+    hours = default if hours is None else min(max(hours, bounds[0]), bounds[1])
+    return None if hours is None else now - hours * HOUR_MS
+
+
+def by_id(df: DataFrame, id_: str) -> DataFrame:
+    """Point lookup: a filter that reaches the scan."""
+    return df.filter(F.col("id") == id_)
+
+
+def unclustered(articles: DataFrame, limit: int) -> DataFrame:
+    """The oldest articles without a story."""
+    return articles.filter("story_id is null").orderBy("published_at", "id").limit(limit)
+
+
+def candidate_stories(stories: DataFrame, since: int) -> DataFrame:
+    """Stories still open to new members."""
+    return stories.filter(F.col("last_seen_at") >= since).orderBy(F.desc("last_seen_at"), "id")
+
+
+def stories_list(stories: DataFrame, since: int | None = None, limit: int | None = None) -> DataFrame:
+    """The latest stories."""
+    recent = stories if since is None else stories.filter(F.col("last_seen_at") >= since)
+    return recent.orderBy(F.desc("last_seen_at"), "id").limit(clamp_limit(limit))
+
+
+def match_times(log: DataFrame, topic_id: str, start: int, end: int) -> DataFrame:
+    """Times of a topic's matches from ``start`` to before ``end``."""
+    return log.filter((F.col("topic_id") == topic_id) & (F.col("matched_at") >= start) & (F.col("matched_at") < end)).select("matched_at").orderBy("matched_at")
+
+
+def story_page(stories: DataFrame, articles: DataFrame, story_id: str) -> DataFrame:
+    """A story's row beside each of its newest members, duplicates among them; members are null if it has none."""
+    members = newest(article_filter(articles, story_id=story_id), STORY_MEMBERS)
+    story = by_id(stories, story_id).select(F.struct("*").alias("story"))
+    member = members.select(F.col("story_id").alias("__of"), F.struct(*articles.columns).alias("article"))
+    return story.join(member, F.col("story.id") == F.col("__of"), "left").drop("__of").orderBy(F.desc("article.published_at"), "article.id")
+
+
+def topic_page(log: DataFrame, articles: DataFrame, bursts: DataFrame, topic_id: str, now: int, hours: int | None = None, limit: int = 100) -> DataFrame:
+    """A topic's latest matches, each beside its last burst (null without one)."""
+    hits = log.filter((F.col("topic_id") == topic_id) & (F.col("matched_at") < now))
+    found = topic_feed(hits, articles, topic_id, window_start(now, hours), limit)
+    last = bursts.filter(F.col("topic_id") == topic_id).groupBy("topic_id").agg(F.max(F.struct("detected_at", *(c for c in bursts.columns if c not in ("topic_id", "detected_at")))).alias("last_burst"))
+    return found.join(last, "topic_id", "left")
+
+
+def agent_topics(topics: DataFrame) -> DataFrame:
+    return topics.select(F.col("id").alias("topic_id"), "name", "query", "enabled").orderBy("name", "topic_id")
+
+
+def briefs_list(briefs: DataFrame, limit: int | None = None) -> DataFrame:
+    return briefs.orderBy(F.desc("generated_at"), "id").limit(clamp_limit(limit, BRIEFS_LISTED))
+
+
+def latest_brief(briefs: DataFrame) -> DataFrame:
+    return briefs_list(briefs, 1)
+
+
 def stories_of(df: DataFrame) -> DataFrame:
     """Counts and times of every story."""
     return df.filter("story_id is not null").groupBy(F.col("story_id").alias("id")).agg(

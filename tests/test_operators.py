@@ -4,19 +4,19 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from inkstream import queries
+from inkstream import queries, queries_service
 from inkstream.functions.dates import HOUR_MS
 from inkstream.operators import bursts, clustering, near_dup, store
 from inkstream.streaming import passes
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["text_words", "url_canonicalize", "rank_factors", "ranked_feed", "topic_match_fanout", "burst_verdict", "burst_history", "cluster_best_story", "story_recount", "feed_items", "insert_dedupe"]
+QUICK = ["text_words", "url_canonicalize", "rank_factors", "ranked_feed", "topic_match_fanout", "burst_verdict", "burst_history", "cluster_best_story", "story_recount", "feed_items", "insert_dedupe", "story_page", "topic_page", "settings_read", "stories_open", "burst_record", "match_pass", "feed_atom", "feed_json", "feed_errors", "events_emitted"]
 
 
 @pytest.mark.parametrize("name", QUICK)
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages", "events", "customer"):
+    for t in ("documents", "labels", "pages", "events", "customer", "nation"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     got = df.toPandas()[sorted(df.columns)]
@@ -29,7 +29,7 @@ def test_against_sql(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() > 0
+    assert entry.entry(spark).count() > 0 and queries_service.service_pass
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
@@ -60,6 +60,56 @@ def test_cluster_pass(spark):
     assert {r.article_id for r in best} == {"a1", "a2"}
 
 
+def test_original_at_the_edges(spark):
+    """Look-backs cut at any millisecond, copies of one time, and pairs across cells, against all pairs."""
+    import random
+
+    rng = random.Random(5)
+    day = 24 * HOUR_MS
+    base = [rng.getrandbits(64) - 2**63 for _ in range(4)]
+    flip = lambda h: ((h ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4)))) & (2**64 - 1))
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    rows = [(f"r{i:03d}", rng.choice([rng.randrange(9 * day), 4 * day, 8 * day, 8 * day + 1, 60_000 * rng.randrange(12_000)]), signed(flip(rng.choice(base)))) for i in range(400)]
+
+    def brute(i, at, h):
+        c = [(t, j) for j, t, g in rows if (t, j) < (at, i) and t >= at - 96 * HOUR_MS and bin((g ^ h) & (2**64 - 1)).count("1") <= 3]
+        return min(c)[1] if c else None
+
+    got = {r.id: r.duplicate_of for r in near_dup.originals(spark.createDataFrame(rows, "id string, at long, simhash long")).collect()}
+    assert got == {i: b for i, at, h in rows if (b := brute(i, at, h))}
+
+
+def test_service_pass(spark, tmp_path):
+    """Two passes: a copy follows its original, an article joins a story, growth is told once, a replay adds nothing."""
+    text = "central bank raises interest rates again amid inflation worries in the region as markets fall"
+    feed = lambda *items: "<rss><channel>" + "".join(f"<item><title>{t}</title><link>https://x.test/{u}</link><description>{b}</description></item>" for t, u, b in items) + "</channel></rss>"
+    bodies = lambda *rows: spark.createDataFrame(list(rows), "feed_key string, body string")
+    topics_ = {"rates": queries.topics.parse("rates")}
+    run = lambda tables, b, now, n: passes.service_pass(tables, b, topics_, now, passes.table_writer(spark, f"{tmp_path}/{n}"))
+    one = run(passes.empty_tables(spark), bodies(("s1", feed(("Rates up", "a", text), ("Cup", "b", "team wins the final match after extra time drama"))), ("s2", feed(("Rates up", "c", text))), ("s3", "broken")), 10 * HOUR_MS, 1)
+    assert {r.counter: r.n for r in one["report"].collect()} == {"stories_opened": 2, "stories_joined": 0, "topic_matches": 1, "bursts": 0, "articles_new": 3, "duplicates": 1}
+    arts = {r.url[-1]: r for r in one["articles"].collect()}
+    assert arts["a"].story_id == arts["c"].story_id != arts["b"].story_id and one["snapshot"].count() == 1
+    followed = one["stories"].withColumn("followed", F.lit(True))
+    two = run({**one, "stories": followed}, bodies(("s1", feed(("Rates up", "a", text))), ("s2", feed(("More rates", "d", text + " today")))), 11 * HOUR_MS, 2)
+    assert {r.counter: r.n for r in two["report"].collect()}["articles_new"] == 1
+    grown = two["events"].filter("event = 'story.developing'").count()
+    joined = {r.url[-1]: r.story_id for r in two["articles"].collect()}
+    assert joined["d"] == joined["a"] and grown == 1
+    three = run(two, bodies(("s2", feed(("More rates", "d", text + " today")))), 12 * HOUR_MS, 3)
+    assert {r.n for r in three["report"].collect()} == {0} and three["events"].count() == 0
+
+
+def test_developing_stream(spark, tmp_path):
+    for n, rows in enumerate([[("a", 1), ("b", 2)], [("a", 3), ("b", 2), ("c", 9)], [("a", 3)]]):
+        spark.createDataFrame(rows, "id string, source_count long").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/batch={n}"))
+    src = spark.readStream.schema("id string, source_count long").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in/batch=*"))
+    out = str(tmp_path / "out")
+    passes.developing(src).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination(120)
+    got = [tuple(r) for r in spark.read.parquet(out).collect()]
+    assert got == [("a", 3)]
+
+
 def test_bursts(spark):
     now = 1000 * HOUR_MS
     rows = [("t", now - 1 - i) for i in range(9)] + [("t", now - 24 * HOUR_MS)] + [("t", now), ("q", now - 5)]
