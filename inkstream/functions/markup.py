@@ -1,13 +1,16 @@
 """Readable text of markup, in Arrow batches.
 
-One regular expression cuts a document into tags, CDATA, comments and text; the walk
-over its matches is iterative, so hostile nesting costs no stack.
+One regular expression cuts a document into tags, CDATA, comments and text.  What is shown
+is laid out as text with rows for its tags; elements are extents between such rows.
+Nothing recurses, so hostile nesting costs no stack.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -75,58 +78,74 @@ def decode_references(text: str) -> str:
     return _REFERENCE.sub(one, text) if "&" in text else text
 
 
-def _walk(html: str) -> tuple[str, dict[int, tuple[int, int]]]:
-    """Raw text with line breaks, and container spans: start to (end, tags inside)."""
-    out: list[str] = []
-    size = tags = 0
-    open_: list[tuple[str, int, int]] = []
-    spans: dict[int, tuple[int, int]] = {}
-    dropped, depth = "", 0
+class Tag(NamedTuple):
+    """A tag in the visible markup: where it stands in the text, and how many start tags there are up to it."""
 
-    def put(s: str) -> None:
-        nonlocal size
-        out.append(s)
-        size += len(s)
+    name: str
+    at: int
+    nth: int
+    opens: bool
 
-    def pop() -> None:
-        name, start, before = open_.pop()
-        if name in CONTAINERS:
-            spans[start] = (size, tags - before)
 
+def _visible(html: str) -> Iterator[tuple[str, str, bool]]:
+    """(kind, value, alone) of what is shown: text, and start and end tags by local name.
+
+    A dropped element is one start tag without an inside; its own name is counted to find its end.
+    """
+    hidden, deep = "", 0
     for m in TOKEN.finditer(html):
         kind = m.lastgroup
-        if dropped:
-            if kind == "close" and local_name(m["name"]) == dropped:
-                if m["end"]:
-                    depth -= 1
-                    dropped = dropped if depth else ""
-                elif not m["attrs"].rstrip().endswith("/"):
-                    depth += 1
-        elif kind == "text":
-            put(decode_references(m["text"]))
-        elif kind == "cdata":
+        if kind == "text" and not hidden:
+            yield "text", m["text"], False
+        if kind != "close":
+            continue
+        name, alone = local_name(m["name"]), m["attrs"].rstrip().endswith("/")
+        if hidden:
+            deep += (name == hidden) * (-1 if m["end"] else 0 if alone else 1)
+            hidden = hidden if deep else ""
+        elif m["end"]:
+            yield "end", name, False
+        else:
+            if name in DROPPED and not alone:
+                hidden, deep = name, 1
+            yield "start", name, alone or name in DROPPED or name in VOIDS
+
+
+def _laid_out(html: str) -> tuple[str, list[Tag]]:
+    """The raw text with its line breaks, and the tags that open or end elements, placed in it."""
+    pieces, tags, at, nth = [], [], 0, 0
+    for kind, value, alone in _visible(html):
+        if kind == "text":
+            piece = decode_references(value)
+        else:
+            # block elements break on either side, lines before themselves only
+            broken = value in BLOCKS and (kind == "start" or value not in LINES)
+            piece = "\n" if broken else ""
+            nth += kind == "start"
+        pieces.append(piece)
+        at += len(piece)
+        if kind != "text" and not alone:
+            tags.append(Tag(value, at, nth, kind == "start"))
+    tags.append(Tag("", at, nth, False))
+    return "".join(pieces), tags
+
+
+def _containers(tags: list[Tag]) -> dict[int, tuple[int, int]]:
+    """Extents of container elements: start to (end, tags inside), the outermost of those that start together.
+
+    An end tag ends its nearest open element and all inside that; the last row ends all.
+    """
+    found: dict[int, tuple[int, int]] = {}
+    live: list[Tag] = []
+    for tag in tags:
+        if tag.opens:
+            live += [tag] if len(live) < MAX_HTML_DEPTH else []
             continue
-        elif kind == "close" and m["end"]:
-            name = local_name(m["name"])
-            if name in BLOCKS and name not in LINES:
-                put("\n")
-            if any(f[0] == name for f in open_):
-                while open_[-1][0] != name:
-                    pop()
-                pop()
-        elif kind == "close":
-            name, alone = local_name(m["name"]), m["attrs"].rstrip().endswith("/")
-            tags += 1
-            if name in DROPPED:
-                dropped, depth = ("", 0) if alone else (name, 1)
-                continue
-            if name in BLOCKS:
-                put("\n")
-            if not alone and name not in VOIDS and len(open_) < MAX_HTML_DEPTH:
-                open_.append((name, size, tags))
-    while open_:
-        pop()
-    return "".join(out), spans
+        names = [t.name for t in live]
+        keep = len(names) - 1 - names[::-1].index(tag.name) if tag.name in names else len(names) if tag.name else 0
+        found |= {t.at: (tag.at, tag.nth - t.nth) for t in reversed(live[keep:]) if t.name in CONTAINERS}
+        del live[keep:]
+    return found
 
 
 def _gap(m: re.Match) -> str:
@@ -140,19 +159,19 @@ def tidy(text: str) -> str:
 
 
 def html_to_text(html: str | None) -> str | None:
-    return None if html is None else tidy(_walk(html)[0])
+    return None if html is None else tidy(_laid_out(html)[0])
 
 
 def main_text(html: str | None) -> str | None:
     """Text of the container with most bytes per tag, of those with enough; else all text."""
     if html is None:
         return None
-    text, spans = _walk(html)
+    text, tags = _laid_out(html)
     rated = []
-    for start, (end, tags) in spans.items():
+    for start, (end, inside) in _containers(tags).items():
         size = len(text[start:end].strip().encode())
         if size >= MIN_MAIN_TEXT_BYTES:
-            rated.append((size / (1 + tags), size, -start, end))
+            rated.append((size / (1 + inside), size, -start, end))
     if not rated:
         return tidy(text)
     *_, start, end = max(rated)
