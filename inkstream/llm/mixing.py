@@ -9,13 +9,11 @@ seeded order until a pattern's flow is met.
 Everything of the size of the data stays in Spark: pattern totals are partial
 aggregates, and the seeded order is cut by refining a histogram of seeded hashes,
 level by level, down to the one cell per pattern in which the flow ends.  The flow
-itself sees one row per pattern and runs on the driver; ``MAX_PATTERNS`` is checked.
+itself sees one row per pattern and runs on the driver.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +22,8 @@ from inkstream.llm._stash import Stash
 WEIGHTS = (3, 1, 2)
 OVERSAMPLE = 1.5
 MAX_REPEATS = 2
-#: Patterns the driver solves for; more is an error, not a silent cut.
-MAX_PATTERNS = 200_000
+#: Patterns whose plan is broadcast; a longer plan is joined by a shuffle.
+BROADCAST_PATTERNS = 200_000
 #: Cost of a pattern's k-th repetition of its words; increasing, so the flow is convex.
 REPEAT_COSTS = (0, 10, 30, 60, 100)
 #: The seeded order's bits, and those by which a level refines it.
@@ -67,63 +65,99 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, repeats: int = MAX
 
     ``capacity[p]`` words may flow from pattern p once for each of ``repeats``
     repetitions at ``REPEAT_COSTS``; ``members[p]`` are its sources; ``quota[s]`` is what
-    source s takes.  Successive shortest paths (Dijkstra with potentials) over
-    node ids start -> pattern -> source -> end.
+    source s takes.
+
+    Costs lie on the first arcs alone and rise with the repetition, so cheapest
+    augmenting paths come repetition by repetition: a largest flow is extended with each
+    one's capacities (Dinic's levels and blocking flows over pattern -> source).  Patterns
+    of the same sources are one node, and one whose sources nobody shares needs no search.
     """
-    start, end = ("start",), ("end",)
-    arcs: dict = {}
-    edges: list[list] = []
-
-    def arc(a, b, room, cost):
-        arcs.setdefault(a, []).append(len(edges))
-        edges.append([b, room, cost])
-        arcs.setdefault(b, []).append(len(edges))
-        edges.append([a, 0, -cost])
-        return len(edges) - 2
-
-    flows = {}
+    sets = {p: frozenset(members[p]) for p in capacity}
+    groups: dict = {}
     for p in sorted(capacity):
-        for k in range(repeats):
-            if capacity[p]:
-                arc(start, ("p", p), capacity[p], REPEAT_COSTS[k])
-        for s in members[p]:
-            flows[p, s] = arc(("p", p), ("s", s), sum(capacity.values()) * repeats + 1, 0)
-    for s, q in quota.items():
-        arc(("s", s), end, q, 0)
-    height: dict = {}
+        if capacity[p] and sets[p]:
+            groups.setdefault(sets[p], []).append(p)
+    room = {g: 0 for g in groups}
+    left = dict(quota)
+    sent: dict = {g: dict.fromkeys(sorted(g, key=lambda s: (s is None, s)), 0) for g in groups}
+    for _ in range(repeats):
+        for g, ps in groups.items():
+            room[g] += sum(capacity[p] for p in ps)
+        _largest_flow(room, left, sent)
+    # a group's words go to its patterns in order, each within what its repetitions hold
+    out = {(p, s): 0 for p in capacity for s in members[p]}
+    for g, ps in groups.items():
+        shares = [[s, n] for s, n in sent[g].items() if n]
+        total = sum(n for _, n in shares)
+        whole, rest = divmod(total, sum(capacity[p] for p in ps))
+        for p in ps:
+            want = whole * capacity[p] + min(rest, capacity[p])
+            rest -= min(rest, capacity[p])
+            while want and shares:
+                take = min(want, shares[0][1])
+                out[p, shares[0][0]] += take
+                want -= take
+                shares[0][1] -= take
+                if not shares[0][1]:
+                    shares.pop(0)
+    return out
+
+
+def _largest_flow(room: dict, left: dict, sent: dict) -> None:
+    """Extend ``sent`` (group -> source -> words) to a largest flow of ``room`` into ``left``, both of which it lowers."""
+    for g in room:  # what needs no rerouting
+        for s in sent[g]:
+            n = min(room[g], left.get(s, 0))
+            sent[g][s] += n
+            room[g] -= n
+            left[s] = left.get(s, 0) - n
+    takers: dict = {}
+    for g in sent:
+        for s in sent[g]:
+            takers.setdefault(s, []).append(g)
     while True:
-        best, via = {start: 0}, {}
-        heap, n = [(0, 0, start)], 1
-        done = set()
-        while heap:
-            d, _, at = heapq.heappop(heap)
-            if at in done:
-                continue
-            done.add(at)
-            for e in arcs.get(at, ()):
-                to, room, cost = edges[e]
-                if room > 1e-9 and to not in done:
-                    near = d + cost + height.get(at, 0) - height.get(to, 0)
-                    if near < best.get(to, float("inf")):
-                        best[to], via[to] = near, e
-                        heapq.heappush(heap, (near, n, to))
-                        n += 1
-        if end not in done:
-            break
-        for at in done:
-            height[at] = height.get(at, 0) + best[at]
-        for at in arcs:
-            if at not in done:
-                height[at] = height.get(at, 0) + best[end]
-        path, at = [], end
-        while at != start:
-            path.append(via[at])
-            at = edges[via[at] ^ 1][0]
-        push = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= push
-            edges[e ^ 1][1] += push
-    return {k: edges[e ^ 1][1] for k, e in flows.items()}
+        # levels: groups with room, their sources, the groups that sent there, and so on
+        level = {("g", g): 0 for g in room if room[g] > 0}
+        front, goal = list(level), False
+        while front and not goal:
+            found = []
+            for kind, x in front:
+                d = level[kind, x] + 1
+                for y in [("s", s) for s in sent[x]] if kind == "g" else [("g", g) for g in takers[x] if sent[g][x] > 0]:
+                    if y not in level:
+                        level[y] = d
+                        found.append(y)
+                        goal |= y[0] == "s" and left[y[1]] > 0
+            front = found
+        if not goal:
+            return
+        at: dict = {}
+        for start in [g for g in room if room[g] > 0]:
+            while room[start] > 0:
+                path = [("g", start)]
+                while path and not (path[-1][0] == "s" and left[path[-1][1]] > 0):
+                    kind, x = path[-1]
+                    options = [("s", s) for s in sent[x]] if kind == "g" else [("g", g) for g in takers[x]]
+                    k = at.get((kind, x), 0)
+                    while k < len(options) and not (level.get(options[k]) == level[kind, x] + 1 and (kind == "g" or sent[options[k][1]][x] > 0)):
+                        k += 1
+                    at[kind, x] = k
+                    if k < len(options):
+                        path.append(options[k])
+                    else:
+                        path.pop()
+                        if path:
+                            at[path[-1]] += 1
+                if not path:
+                    break
+                n = min([room[start], left[path[-1][1]]] + [sent[b[1]][a[1]] for a, b in zip(path, path[1:]) if a[0] == "s"])
+                for a, b in zip(path, path[1:]):
+                    if a[0] == "g":
+                        sent[a[1]][b[1]] += n
+                    else:
+                        sent[b[1]][a[1]] -= n
+                room[start] -= n
+                left[path[-1][1]] -= n
 
 
 def _hash(seed: int) -> Column:
@@ -150,7 +184,8 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = SEED, share:
     pattern is cut inside, so that the pattern's taken words meet its flow.  Equal
     rows tie in that order and then share the cut in equal parts, rounded down.
 
-    Null texts have size 0 and are taken 0 times their words.  An empty table gives
+    Null texts have size 0 and are taken 0 times their words; texts count whole, however
+    long; a document without sources is not taken.  An empty table gives
     an empty result; extra columns are ignored; reruns agree.
     """
     spark = docs.sparkSession
@@ -160,9 +195,7 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = SEED, share:
         docs.select("doc_id", word_count(F.col("text")).alias("size"), _hash(seed).alias("h"), _name(sources).alias("pattern"), F.sort_array(F.array_distinct(sources)).alias("members")),
         "sizes",
     )
-    totals = base.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).limit(MAX_PATTERNS + 1).collect()
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    totals = base.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).collect()
     sizes: dict = {}
     for r in totals:
         for s in r.members:
@@ -178,8 +211,9 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = SEED, share:
         times, rest = divmod(routed, r.size) if r.size else (0, 0)
         rows.append((r.pattern, float(sum(target[s] for s in r.members)), sum(sizes[s] for s in r.members), times, rest))
     plan = spark.createDataFrame(rows, "pattern string, target double, source_size long, times long, rest long")
-    cut = _cuts(base, plan, stash)
-    joined = base.join(F.broadcast(plan), "pattern").join(F.broadcast(cut), "pattern", "left")
+    small = F.broadcast if len(rows) <= BROADCAST_PATTERNS else lambda df: df
+    cut = _cuts(base, plan, stash, small)
+    joined = base.join(small(plan), "pattern").join(small(cut), "pattern", "left")
     more = (
         F.when(F.col("h") < F.col("edge"), F.col("size"))
         .when(F.col("h") == F.col("edge"), F.floor(F.col("size") * F.col("inside") / F.greatest(F.col("edge_size"), F.lit(1))))
@@ -190,7 +224,7 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = SEED, share:
     )
 
 
-def _cuts(base: DataFrame, plan: DataFrame, stash: Stash) -> DataFrame:
+def _cuts(base: DataFrame, plan: DataFrame, stash: Stash, small) -> DataFrame:
     """(pattern, edge, inside, edge_size): the seeded hash at which each pattern's rest ends.
 
     Documents hashed below ``edge`` are taken whole; those at it share ``inside`` of
@@ -202,7 +236,7 @@ def _cuts(base: DataFrame, plan: DataFrame, stash: Stash) -> DataFrame:
     base = base.select("pattern", "h", "size")
     for shift in range(HASH_BITS - CELL_BITS, -1, -CELL_BITS):
         last = shift < CELL_BITS
-        cells = base.join(F.broadcast(state), "pattern").groupBy("pattern", "room", F.shiftright("h", 0 if last else shift).alias("cell")).agg(F.sum("size").alias("size"))
+        cells = base.join(small(state), "pattern").groupBy("pattern", "room", F.shiftright("h", 0 if last else shift).alias("cell")).agg(F.sum("size").alias("size"))
         lists = cells.groupBy("pattern", "room").agg(F.sort_array(F.collect_list(F.struct("cell", "size"))).alias("cells"))
         zero = F.struct(F.col("room").alias("room"), F.lit(None).cast("long").alias("cell"), F.lit(0).cast("long").alias("size"))
         walked = F.aggregate(
@@ -216,5 +250,5 @@ def _cuts(base: DataFrame, plan: DataFrame, stash: Stash) -> DataFrame:
         if last:
             return found.select("pattern", F.col("cell").alias("edge"), F.col("room").alias("inside"), F.col("size").alias("edge_size"))
         state = found.select("pattern", "room")
-        base = stash.put(base.join(F.broadcast(found.select("pattern", "cell")), "pattern").filter(F.shiftright("h", shift) == F.col("cell")).drop("cell"), f"cell{shift}")
+        base = stash.put(base.join(small(found.select("pattern", "cell")), "pattern").filter(F.shiftright("h", shift) == F.col("cell")).drop("cell"), f"cell{shift}")
     raise AssertionError("the last level returns")

@@ -351,6 +351,37 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_flow_is_cheapest_and_largest():
+    """Against linear relaxation by brute force: largest flow per subset of sources (max-flow min-cut), repetition by repetition."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(15)
+    for _ in range(60):
+        names = [*"ABCDE"[: int(rng.integers(1, 6))], None]
+        members = {f"p{i}": [names[k] for k in sorted(rng.choice(len(names), int(rng.integers(1, len(names) + 1)), replace=False))] for i in range(int(rng.integers(1, 9)))}
+        capacity, quota = {p: int(rng.integers(0, 30)) for p in members}, {s: int(rng.integers(0, 40)) for s in names}
+        flow = mixing.min_cost_flow(capacity, members, quota)
+        used = {p: sum(flow[p, s] for s in members[p]) for p in members}
+        assert all(used[p] <= 2 * capacity[p] for p in members) and all(sum(n for (_, x), n in flow.items() if x == s) <= quota[s] for s in names)
+
+        def largest(times):
+            # by min-cut: the least over subsets of sources of their quotas and the words of patterns outside
+            return min(sum(quota[s] for s in cut) + sum(times * capacity[p] for p in members if not set(members[p]) <= set(cut)) for n in range(len(names) + 1) for cut in combinations(names, n))
+
+        assert sum(used.values()) == largest(2)
+        assert sum(min(used[p], capacity[p]) for p in members) == largest(1)  # no second repetition while a first would do
+
+
+def test_flow_of_many_patterns():
+    rng = np.random.default_rng(16)
+    members = {f"p{i}": sorted({f"s{k}" for k in rng.integers(0, 40, int(rng.integers(1, 4)))}) for i in range(20_000)}
+    capacity = {p: int(rng.integers(1, 1000)) for p in members}
+    quota = {f"s{k}": int(rng.integers(1, 2 * 20_000 * 500 // 40)) for k in range(40)}
+    began = time.time()
+    flow = mixing.min_cost_flow(capacity, members, quota)
+    assert time.time() - began < 60 and sum(flow.values()) <= sum(quota.values())
+
+
 def test_flow(spark):
     flow = mixing.min_cost_flow({"a": 10, "ab": 10}, {"a": ["A"], "ab": ["A", "B"]}, {"A": 15, "B": 18})
     assert sum(flow.values()) == 33 and flow["ab", "A"] + flow["ab", "B"] <= 20 and flow["a", "A"] <= 20
