@@ -11,7 +11,8 @@ or, without one, its best line's or block's.
 A license file speaks for its directory: documents without a license of their own
 inherit from the nearest ancestor directory that has one.  Each path is exploded into
 its ancestors and equi-joined with the licensed directories; the deepest match wins by
-a partial-aggregated maximum, so a directory of any size is no skew.
+a partial-aggregated maximum.  Only distinct directories take part; rows then meet their
+directory's answer in a join whose small side is one row a directory.
 """
 
 from __future__ import annotations
@@ -181,9 +182,12 @@ def scan(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     in a directory the first path speaks.  Null where there is neither.
 
     Null and empty texts have no license of their own; a null path inherits nothing; rows
-    with a null key keep a row and may inherit; repeated rows each get a row; extra columns
+    with a null key are scanned like others; repeated rows each get a row, and different
+    texts under one key are told apart; texts are read whole, however long; extra columns
     are ignored; an empty table gives an empty result.
     """
+    # a row is its key and its text, so that texts under one key are not added up
+    files = files.select(F.struct(F.col("key"), F.xxhash64("text").alias("text")).alias("key"), "path", "text")
     lines, units = notices(files.select("key", "text"), min_cosine), blocks(files.select("key", "text"))
     named = files.filter(F.col("text").rlike(CUE)).select("key", spdx(F.col("text")).alias("license")).filter("license is not null")
     own = lines.select("*", F.lit("line").alias("kind")).unionByName(units.select("*", F.when(F.col("line") < 0, "joined").otherwise("block").alias("kind")))
@@ -204,5 +208,5 @@ def scan(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     nearest = nearest.select("at", F.col("n.directory").alias("directory"), F.col("n.theirs").alias("theirs"))
     out = rows.withColumn("at", F.when(F.col("own").isNull(), _directory(F.col("path")))).join(nearest, "at", "left")
     return out.select(
-        "key", F.coalesce("own", "theirs").alias("license"), "cosine", (F.col("own").isNull() & F.col("theirs").isNotNull()).alias("inherited"), "directory"
+        "key.key", F.coalesce("own", "theirs").alias("license"), "cosine", (F.col("own").isNull() & F.col("theirs").isNotNull()).alias("inherited"), "directory"
     )

@@ -169,6 +169,41 @@ def test_licenses(spark):
     assert licenses.scan(files).count() == len(rows) and licenses.scan(files.limit(0)).count() == 0
 
 
+def test_licenses_under_one_key(spark):
+    """Two texts under one key are two rows, ties go to the first identifier, and a long text is read to its end."""
+    apache = "Licensed under the Apache License, Version 2.0."
+    rows = [(1, "a/x", "The MIT License (MIT)"), (1, "b/y", apache), (None, "c/z", apache), (2, "d/long", "word " * 300_000 + f"\n{apache}"), (3, "e/f", None), (3, "e/f", "")]
+    got = sorted((str(r.key), str(r.license), round(r.cosine or 0, 6) <= 1) for r in licenses.scan(spark.createDataFrame(rows, "key int, path string, text string")).collect())
+    assert got == sorted([("1", "MIT", True), ("1", "Apache-2.0", True), ("None", "Apache-2.0", True), ("2", "Apache-2.0", True), ("3", "None", True), ("3", "None", True)])
+
+
+def test_scan_by_brute_force(spark):
+    """Own licenses of texts of random lines against cosines counted in Python."""
+    rng = np.random.default_rng(17)
+    vocabulary = [t for ts in licenses.TEMPLATES.values() for x in ts for t in x.split()] + ["foo", "bar", "baz"]
+    texts = ["\n".join(" ".join(rng.choice(vocabulary, int(rng.integers(1, 12)))) for _ in range(int(rng.integers(1, 5)))) for _ in range(150)]
+    texts += [t for ts in licenses.TEMPLATES.values() for t in ts]
+    rows, idf, unknown = licenses.template_vectors()
+    vectors = collections.defaultdict(dict)
+    for name, i, t, unit in rows:
+        vectors[name, i][t] = unit
+
+    def best(line):
+        bare = re.sub(licenses.HOLDER, "", line)
+        toks = collections.Counter(x for x in (t.strip(".") for t in re.split(r"[^a-z0-9.]+", bare.lower())) if x)
+        w = {t: n * idf.get(t, unknown) for t, n in toks.items()}
+        norm = np.sqrt(sum(x * x for x in w.values())) or 1
+        return max(((round(sum(w.get(t, 0) * u for t, u in v.items()) / norm, 9), name) for (name, _), v in vectors.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+
+    want = set()
+    for i, text in enumerate(texts):
+        for k, line in enumerate(text.split("\n")):
+            if re.search(licenses.CUE, line) and best(line)[0] >= licenses.MIN_COSINE:
+                want.add((i, k, best(line)[1]))
+    got = {(r.key, r.line, r.license) for r in licenses.notices(spark.createDataFrame(list(enumerate(texts)), "key int, text string"), licenses.MIN_COSINE).collect()}
+    assert len(want) > 15 and got == want
+
+
 def test_license_cosine(spark):
     line = "Licensed under the Apache License, Version 2.0 with extra words"
     rows, idf, unknown = licenses.template_vectors()
