@@ -38,7 +38,7 @@ SHORTEST = 3
 BITS_EACH = 16
 MOST_BITS = 30
 #: Diagonals turned into Python objects at once.
-JUDGED = 256
+JUDGED = 32
 #: Units that follow a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -263,7 +263,7 @@ def _judge(run_tokens: int):
     """Matches of one text, item and diagonal to its longest consistent run."""
 
     def run(batches):
-        for batch in (b.slice(at, JUDGED) for b in batches for at in range(0, b.num_rows, JUDGED)):
+        for batch in _text.rows(batches, JUDGED):
             out = []
             for doc, item, tokens, matches in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 best, changed = _longest(matches)
