@@ -1,13 +1,14 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A window of words is the bag of its character n-grams, each with an embedding; the
-bag's mean goes into a two-class softmax, and both layers are trained together by
-mini-batch gradient steps in numpy.  Misspellings share most n-grams with the word
-they stand for, so they share its vectors.
-
-A text is as toxic as its worst window, which keeps a few toxic words visible in a
-long text.  Training alternates: the current worst window of each labelled text is
-its example.  Texts are scored in one Arrow pass; after training an n-gram's part in
+Words, windows of words and whole texts are bags of character n-grams, each with an
+embedding; a bag's mean goes into a two-class softmax, and both layers are trained
+together by mini-batch gradient steps in numpy.  Misspellings share most n-grams with the
+word they stand for, so they share its vectors.
+
+A text's score weighs three means of the softmax: of its worst word, which keeps a single
+one visible in a long text, of its worst window, in which milder words add up, and of the
+whole text.  Training alternates: the current worst word of each labelled text is its
+example.  Texts are scored in one Arrow pass; after training an n-gram's part in
 the softmax is one number, so the table that tasks get is of fixed size.
 """
 
@@ -23,15 +24,23 @@ from inkstream.llm import _text
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIMENSIONS = 16
-WINDOW = 1
+#: Words of the windows of which a text's worst counts.
+WINDOWS = (1, 8)
+#: Windows whose worst are the examples.  Longer ones among them cost accuracy on held-out labels: most of their words are clean.
+LEARNT = (1,)
 #: Bound of the labelled sample, by label, taken in order of a hash of the id.
 SAMPLE = {1: 1000, 0: 1500}
+#: Longer texts are not learnt from; the sample goes to the driver.  All texts are scored.
+FIT_BYTES = 1 << 16
 ROUNDS = 4
-#: Share of clean texts that a toxic text must exceed to be learnt from.
+#: Share of clean texts whose worst word a toxic text must exceed to be learnt from in a round.
+#: Labels of texts without any toxic wording are left out by it; ``train`` says how many.
 SURE = 0.99
 EPOCHS = 3
 RATE = 0.5
 DECAY = 0.2
+#: The mean of a text without words, and the bound of all means.
+EMPTY = -20.0
 THRESHOLD = 0.7
 
 
@@ -74,14 +83,14 @@ def _grams(data: np.ndarray, offs: np.ndarray):
     return bucket, word, first
 
 
-def _worst(parts: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the highest mean over its windows and the first word of that window (-1: no word)."""
+def _worst(parts: np.ndarray, counts: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the highest mean over its windows and the first word of that window, the first at ties (-1: no word)."""
     n = len(parts)
     top, at = np.zeros(len(first) - 1), np.full(len(first) - 1, -1)
     if not n:
         return top, at
     s, c = np.concatenate([[0], np.cumsum(parts)]), np.concatenate([[0], np.cumsum(counts)])
-    last = np.minimum(np.arange(n) + WINDOW, np.repeat(first[1:], np.diff(first)))
+    last = np.minimum(np.arange(n) + window, np.repeat(first[1:], np.diff(first)))
     mean = (s[last] - s[:-1]) / np.maximum(c[last] - c[:-1], 1)
     some = np.flatnonzero(np.diff(first) > 0)
     top[some] = np.maximum.reduceat(mean, first[some])
@@ -91,20 +100,27 @@ def _worst(parts: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np
     return top, at
 
 
+def _features(parts: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per text the means of its worst word and window and of the whole; EMPTY each without a word."""
+    sums, sizes = np.concatenate([[0], np.cumsum(parts)]), np.concatenate([[0], np.cumsum(counts)])
+    columns, some = [], np.diff(first) > 0
+    for window in WINDOWS:
+        columns.append(np.where(some, _worst(parts, counts, first, window)[0], EMPTY))
+    columns.append(np.where(some, (sums[first[1:]] - sums[first[:-1]]) / np.maximum(sizes[first[1:]] - sizes[first[:-1]], 1), EMPTY))
+    return np.clip(np.stack(columns, axis=1), EMPTY, -EMPTY)
+
+
 class Model:
-    """Scalar weight of each n-gram bucket, the softmax bias and the calibration of a text's worst window."""
+    """Scalar weight of each n-gram bucket, and the calibration of a text's means."""
 
-    def __init__(self, weights: np.ndarray, slope: float, shift: float):
-        self.weights, self.slope, self.shift = weights, slope, shift
+    def __init__(self, weights: np.ndarray, slopes: np.ndarray, shift: float, left_out: int = 0):
+        self.weights, self.slopes, self.shift, self.left_out = weights, slopes, shift, left_out
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         bucket, word, first = _grams(data, offs)
         n = first[-1]
-        parts = np.bincount(word, self.weights[bucket], n)
-        counts = np.bincount(word, minlength=n)
-        top, at = _worst(parts, counts, first)
-        top[at < 0] = -20.0
-        return 1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -30, 30)))
+        z = _features(np.bincount(word, self.weights[bucket], n), np.bincount(word, minlength=n), first) @ self.slopes + self.shift
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _telling(top: np.ndarray, worst: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -123,7 +139,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Model:
     labels = np.asarray(labels)
     if len(labels) == 0 or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
-        return Model(np.zeros(BUCKETS), 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return Model(np.zeros(BUCKETS), np.zeros(len(WINDOWS) + 1), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     rng = np.random.default_rng(seed)
     data, offs = _text.text_buffer(pa.array(texts, pa.large_string()))
     # n-grams in order of their words, and how many texts of either label hold each
@@ -155,17 +171,20 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Model:
     vectors = rng.normal(0, 1e-3, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    hard: list[tuple[int, int]] = []
+    hard: list[tuple[int, int, int]] = []
     for _ in range(ROUNDS):
-        top, worst = _worst(parts_of(weights), counts, first)
-        ids, begin, goal = [], [0], []
-        telling = _telling(top, worst, labels)
-        picks = [(d, w) for d, w in enumerate(worst.tolist()) if w >= 0 and telling[d]]
+        parts = parts_of(weights)
+        ids, begin, goal, picks = [], [0], [], []
+        for window in LEARNT:
+            top, worst = _worst(parts, counts, first, window)
+            if window == LEARNT[0]:
+                telling = _telling(top, worst, labels)
+            picks += [(d, w, window) for d, w in enumerate(worst.tolist()) if w >= 0 and telling[d]]
         # clean texts' worst windows of all rounds stay, and some of their words at random
         hard += [x for x in picks if labels[x[0]] == 0]
-        spare = [(d, int(rng.integers(first[d], first[d + 1]))) for d, w in enumerate(worst.tolist()) if w >= 0 and labels[d] == 0 for _ in range(3)]
-        for d, w in [x for x in picks if labels[x[0]] == 1] + hard + spare:
-            own = bucket[edge[w] : edge[min(w + WINDOW, first[d + 1])]]
+        spare = [(d, int(rng.integers(first[d], first[d + 1])), 1) for d, w in enumerate(worst.tolist()) if w >= 0 and labels[d] == 0 for _ in range(3)]
+        for d, w, window in [x for x in picks if labels[x[0]] == 1] + hard + spare:
+            own = bucket[edge[w] : edge[min(w + window, first[d + 1])]]
             if len(own):
                 ids.append(own)
                 begin.append(begin[-1] + len(own))
@@ -191,21 +210,21 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Model:
                 bias -= RATE * p.sum(0)
                 np.subtract.at(vectors, g, RATE * len(lot) / 4 * np.repeat(back, sizes, axis=0).astype(np.float32))
         weights = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64) + float(bias[1] - bias[0])
-    # calibration of the worst window on the sample, classes weighing alike
-    top, worst = _worst(parts_of(weights), counts, first)
-    use = _telling(top, worst, labels)
-    top, labels = np.where(worst < 0, -20.0, top)[use], labels[use]
-    slope, shift = 1.0, 0.0
+    # calibration of the means on the sample, classes weighing alike; no mean speaks against a text
+    parts = parts_of(weights)
+    use = _telling(*_worst(parts, counts, first, WINDOWS[0]), labels)
+    x, labels, left_out = _features(parts, counts, first)[use], labels[use], int((~use).sum())
+    slopes, shift = np.full(x.shape[1], 1.0 / x.shape[1]), 0.0
     w = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
-    x = np.clip(top, -20, 20)
+    ridge = np.diag([DECAY * 1e-2] * x.shape[1] + [1e-4])
+    design = np.column_stack([x, np.ones(len(x))])
     for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(slope * x + shift, -30, 30)))
-        r = w * p * (1 - p) + 1e-9
-        e = w * (p - labels)
-        h = np.array([[np.sum(r * x * x) + DECAY * 1e-2, np.sum(r * x)], [np.sum(r * x), np.sum(r) + 1e-4]])
-        step = np.linalg.solve(h, [np.sum(e * x) + DECAY * 1e-2 * slope, np.sum(e) + 1e-4 * shift])
-        slope, shift = slope - 0.5 * step[0], shift - 0.5 * step[1]
-    return Model(weights, float(slope), float(shift))
+        theta = np.append(slopes, shift)
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
+        h = (design * (w * p * (1 - p) + 1e-9)[:, None]).T @ design + ridge
+        theta = theta - 0.5 * np.linalg.solve(h, design.T @ (w * (p - labels)) + ridge @ theta)
+        slopes, shift = np.maximum(theta[:-1], 0.0), theta[-1]
+    return Model(weights, slopes, float(shift), left_out)
 
 
 def _score(model):
@@ -224,7 +243,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text).
 
     Learns from ``labels`` (doc_id, toxic 0/1) of rows that are not held out, at most
-    ``sample`` texts of either label.  Null labels teach nothing; null and empty texts
+    ``sample`` texts of either label, none beyond ``FIT_BYTES``; one labelled both ways is an
+    example of both.  Whole texts of any length are scored; equal texts have equal scores.  Null labels teach nothing; null and empty texts
     get the least score; rows with a null id are scored and not held out; repeated rows
     each get a row; extra columns are ignored; without labels all scores are low.
     """
@@ -236,6 +256,6 @@ def score(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
     for label, n in sorted(sample.items()):
         part = learn.filter(F.col("toxic") == label).orderBy(*order).limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(*order, "text").limit(2 * sum(sample.values())).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES).orderBy(*order, "text").limit(2 * sum(sample.values())).collect()
     model = spark.sparkContext.broadcast(train([r.text for r in rows], np.array([r.toxic for r in rows], dtype=np.int64)))
     return docs.select("doc_id", "text", held_out("doc_id").alias("held_out")).mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")

@@ -359,6 +359,32 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def test_mild_words_add_up():
+    """Of texts with the same worst word the one with more mild words nearby scores higher, in a long text too."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    clean = [f"lorem{c}" for c in "abcdefghijklmnop"]
+    texts, labels = [], []
+    for i in range(300):
+        w = [str(rng.choice(clean)) for _ in range(40)]
+        if i % 3 == 0:
+            n = int(rng.integers(1, 4))
+            w[5 : 5 + n] = rng.permutation(["awfulness", "nastyterm", "grosstalk"])[:n].tolist()
+        texts.append(" ".join(w))
+        labels.append(int(i % 3 == 0))
+    model = toxicity.train(texts, np.array(labels))
+    cases = ["loremb awfulness loremc", "loremb awfulness nastyterm grosstalk loremc", "lorema " * 20_000 + "awfulness nastyterm grosstalk", "", "loremb loremc"]
+    score = model.score(*toxicity._text.text_buffer(pa.array(cases))).tolist()
+    assert score[1] > score[0] > score[4] >= score[3] and score[2] > score[4] and model.slopes[1] > 0
+    parts, counts, first = np.array([1.0, 5, 3, 3, 0, 2]), np.array([1, 1, 1, 1, 1, 2]), np.array([0, 4, 4, 6])
+    for window in (1, 2, 3):
+        top, at = toxicity._worst(parts, counts, first, window)
+        for t, (a, b) in enumerate(zip(first, first[1:])):
+            means = [parts[i : min(i + window, b)].sum() / counts[i : min(i + window, b)].sum() for i in range(a, b)]
+            assert (top[t], at[t]) == ((max(means), a + means.index(max(means))) if means else (0, -1))
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and rows == mixing.mix(docs.repartition(7)).collect() or sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
