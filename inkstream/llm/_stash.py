@@ -4,6 +4,9 @@
 names in ``spark.checkpoint.dir`` and hands back a reader of those files.  That
 cuts lineage the way ``checkpoint()`` does, but compressed and column-pruned.
 Only a local session without that setting gets a temporary folder of its own.
+
+What a lazy result still reads stays in the folder, as checkpoints do; ``stage`` deletes
+the tables of a computation whose result has been written.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import gc
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +43,13 @@ class Stash:
     Python worker at once.
     """
 
+    #: Stashes of the stages that are open, innermost last.
+    _stages: list[list[Stash]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if self._stages:
+            self._stages[-1].append(self)
         if spark.conf.get(_ARROW, None) == _ARROW_DEFAULT:
             spark.conf.set(_ARROW, ARROW_BYTES)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -70,6 +79,19 @@ class Stash:
         time.sleep(0.3)  # the cleaner works beside us
 
 
+@contextmanager
+def stage():
+    """Deletes the tables of all stashes made inside, once what was computed from them is written."""
+    made: list[Stash] = []
+    Stash._stages.append(made)
+    try:
+        yield
+    finally:
+        Stash._stages.remove(made)
+        for s in made:
+            delete(s.spark, s.root)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
