@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstream.llm import _stash
 from inkstream.llm._stash import Stash
 from inkstream.llm.mixing import mix
 from inkstream.llm.quality import keep
@@ -39,7 +40,7 @@ def _unnamed(docs: DataFrame, top: int | None) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and short texts go, ids do not matter."""
     return keep(docs)
 
 
@@ -55,7 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item; all rows of an id that has one go."""
     named, top = _named(docs)
     found = leaks(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return _unnamed(named.join(found, "doc_id", "left_anti"), top).select(docs.columns)
@@ -74,7 +75,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of the mix, written and read back."""
+    """Token shards of the mix, written and read back; rows without an id come first."""
     return tokenize(docs)
 
 
@@ -93,8 +94,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     stash = Stash(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stash.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with _stash.stage():
+            docs = stash.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if written is not None:
+            stash.drop(written)
+        written = docs
         stash.release()
     return STAGES[-1][1](spark, docs, sf_dir)
