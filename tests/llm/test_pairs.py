@@ -235,6 +235,34 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Every stage on an empty table, on null and empty texts, repeated rows, and extra columns of clashing names."""
+    sf = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = "the quick brown fox jumps over the lazy dog and then it runs to the river in the old town for a long time "
+    rows = [(1, None, "en", None, None), (2, "", None, "s", 0), (2, "", None, "s", 0), (None, None, None, None, None), (3, prose * 1, "en", "s", 9), (4, " ".join(f"{w}{i}" for i in range(40) for w in ("alpha", "beta")), "en", None, 9)]
+    rows += [(5, "word " * 50_000, "en", "t", 1), (6, rows[5][1], "en", "t", 9), (6, rows[5][1], "en", "t", 9)]
+    whole = spark.createDataFrame(rows, schema).withColumns({"kept": F.lit("x"), "size": F.lit(1), "taken": F.lit(None).cast("string"), "h": F.lit(2), "spans": F.lit(3), "start": F.lit(4)})
+    for docs in (whole, whole.limit(0)):
+        before = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            now = out.collect()
+            assert name == "token shards" or out.columns == docs.columns
+            if not before:
+                assert now == []
+            elif name == "quality rules":
+                assert {r.doc_id for r in now} == {4, 6} or {r.doc_id for r in now} <= {4, 6}
+            elif name == "near-dedup":  # the repeated row and the copy of 4 go, what has no words stays
+                assert sorted(str(r.doc_id) for r in now) == ["1", "2", "3", "4", "5", "None"]
+            elif name == "benchmark decontamination":
+                assert collections.Counter((r.doc_id, r.text) for r in now) == before
+            elif name == "mixing":
+                assert {r.doc_id for r in now} <= {3, 4, 5, 6} and max(collections.Counter(r.doc_id for r in now).values()) <= 4
+            else:
+                assert len(now) == len(rows) and min(r.n_tokens for r in now) == 1
+
+
 def test_pipeline_without_ids(spark):
     sf = "/root/testdata/sf0.001"
     rng = np.random.default_rng(8)
