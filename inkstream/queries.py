@@ -49,6 +49,26 @@ def millis(ts: str) -> Column:
     return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', `{ts}`)")
 
 
+def _laid_sql(html: str) -> str:
+    """Raw text of markup whose dropped elements do not nest, with its line breaks."""
+    blocks, lines, dropped = ("|".join(sorted(x)) for x in (markup.BLOCKS - markup.LINES, markup.LINES, markup.DROPPED))
+    x = f"regexp_replace({html}, '<!--.*?-->', '', 'gs')"
+    x = f"regexp_replace(regexp_replace({x}, '<({dropped})(\\s[^>]*)?>.*?</({dropped})>', '', 'gs'), '<![^>]*>', '', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '</?({blocks})(\\s[^>]*)?>', chr(10), 'g'), '<({lines})(\\s[^>]*)?>', chr(10), 'g')"
+    x = f"regexp_replace({x}, '<[^>]*(>|$)', '', 'g')"
+    for name in sorted(markup.NAMED, key=lambda n: (n in ("amp", "AMP"), n)):  # the ampersand last
+        x = f"replace({x}, '&{name};', chr({ord(markup.NAMED[name])}))"
+    return x
+
+
+def _tidy_sql(raw: str) -> str:
+    """White space as ``tidy`` leaves it."""
+    x = f"replace(replace({raw}, chr(160), ' '), chr(13), chr(10))"
+    x = f"regexp_replace({x}, '[ \\t\\f\\v]*\\n[ \\t\\f\\v]*\\n\\s*', chr(1) || chr(1), 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '\\s*\\n\\s*', chr(1), 'g'), '[ \\t\\f\\v]+', ' ', 'g')"
+    return f"trim(replace({x}, chr(1), chr(10)), ' ' || chr(10))"
+
+
 # text
 
 
@@ -99,7 +119,18 @@ def text_shingle_set(spark, d):
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
 
 
-@query()
+_WORD = r"regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
+
+
+@query(
+    rf"""with t as (select doc_id, 0 as part, split_part(text, chr(10), 1) as x from documents union all select doc_id, 1, text from documents),
+ w as (select doc_id, part, unnest(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) as w, generate_subscripts(list_filter(string_split_regex(x, '\s+'), lambda w: w <> ''), 1) as i from t),
+ c as (select doc_id, part, i, lower({_WORD}) as low, regexp_matches({_WORD}, '^[\p{{Lu}}\p{{N}}]') and not list_contains({list(text.STOPWORDS + text.ENTITY_STOPWORDS)}, lower({_WORD})) as named, regexp_matches(w, '[.!?;:]$') as ends from w),
+ r as (select *, coalesce(sum((not named)::int) over (partition by doc_id, part order by i), 0) + coalesce(sum(ends::int) over (partition by doc_id, part order by i rows between unbounded preceding and 1 preceding), 0) as run from c),
+ n as (select *, row_number() over (partition by doc_id, part, run order by i desc) as back from r where named),
+ e as (select distinct doc_id, string_agg(low, ' ' order by i) as e from n where back <= {text.MAX_ENTITY_WORDS} group by doc_id, part, run)
+ select d.doc_id, count(e) as n, coalesce(string_agg(e, '|' order by e), '') as entities from documents d left join e using (doc_id) group by d.doc_id"""
+)
 def text_entities(spark, d):
     t = table(spark, d, "documents").select("doc_id", text.entities(F.substring_index("text", "\n", 1), F.col("text")).alias("e"))
     return t.select("doc_id", F.size("e").cast("long").alias("n"), F.array_join("e", "|").alias("entities"))
@@ -259,7 +290,12 @@ def headline_snapshot(spark, d):
     return items.select("id", "title", "source", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query()
+@query(
+    f"with {ARTICLES}, n as (select * from art where archived_at is null and published_at >= (select now from clock) - 172800000 order by published_at desc, id limit 400), r as (select *, {FACTORS} from n, clock), "
+    f"k as (select * from r order by recency * unread desc, id limit 40), t as (select *, {TOKENS.format('title')} as w from k), "
+    f"i as (select recency * unread as score, id, to_json({{'id': id, 'title': title, 'source': source_id, 'published_at': published_at::varchar, 'story_id': story_id, 'source_count': 1, 'tokens': list_filter(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: length(x) >= 3 and not list_contains({STOP}, x))}})::varchar as j from t) "
+    f"select '{{\"version\":1,\"generated_at\":\"' || (select now from clock) || '\",\"ttl_secs\":3600,\"stopwords\":' || to_json(list_sort({STOP}))::varchar || ',\"items\":[' || string_agg(j, ',' order by score desc, id) || ']}}' as json from i"
+)
 def headline_snapshot_json(spark, d):
     return reads.snapshot(reads.load_articles(spark, d), reads.clock(spark, d))
 
@@ -547,13 +583,24 @@ def dates_local_due(spark, d):
 # markup and formats
 
 
-@query()
+@query(f"with t as (select page_id, {_tidy_sql(_laid_sql('html'))} as text from pages) select page_id, length(text) as n, md5(text) as digest from t")
 def page_text(spark, d):
     p = table(spark, d, "pages").select("page_id", markup.html_to_text_udf("html").alias("text"))
     return p.select("page_id", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+def _main_sql() -> str:
+    """The container with most bytes a tag of pages with one body, article and div; ``k`` orders those of equal score."""
+    parts = {"body": "regexp_extract(html, '<body[^>]*>(.*?)(</body>|$)', 1, 's')", "article": "regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's')", "div": "regexp_extract(html, '<div[^>]*>(.*?)</div>', 1, 's')"}
+    union = " union all ".join(f"select page_id, html, {p} as part, {k} as k from pages" for k, p in enumerate(parts.values()))
+    return (
+        f"with c as ({union}), l as (select page_id, html, k, {_laid_sql('part')} as raw, len(regexp_extract_all(regexp_replace(part, '<!--.*?-->', '', 'gs'), '<[A-Za-z]')) as tags from c), "
+        f"s as (select *, strlen(trim(replace(raw, chr(160), ' '), ' ' || chr(10) || chr(13) || chr(9))) as size from l), b as (select page_id, arg_max(raw, (size / (1 + tags), size, -k)) as raw from s where size >= {markup.MIN_MAIN_TEXT_BYTES} group by page_id), "
+        f"t as (select page_id, {_tidy_sql('coalesce(raw, ' + _laid_sql('html') + ')')} as text from pages left join b using (page_id)) select page_id, length(text) as n, md5(text) as digest from t"
+    )
+
+
+@query(_main_sql())
 def page_main_text(spark, d):
     p = table(spark, d, "pages").select("page_id", markup.main_text_udf("html").alias("text"))
     return p.select("page_id", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
