@@ -617,12 +617,16 @@ def extract_json(spark, d):
 
 
 def _feed_bodies(spark, d):
-    """An RSS document of each source's documents: a rendering to read back."""
+    """An RSS document of each source's first documents, one more than a feed may have: a rendering to read back."""
     item = F.concat(
         F.lit("<item><title>"), text.xml_escape(F.concat(F.lit("t"), F.col("doc_id").cast("string"))), F.lit("</title><link>https://n.test/"), F.col("doc_id").cast("string"),
         F.lit("</link><pubDate>"), dates.to_rfc3339(F.lit(reads.EPOCH_MS) + F.col("doc_id") * 60_000), F.lit("</pubDate></item>"),
     )
-    docs = table(spark, d, "documents").groupBy(F.col("source").alias("feed_key")).agg(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("i")))).alias("x"))
+    from pyspark.sql.window import Window
+
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    docs = table(spark, d, "documents").select("source", "doc_id", nth.alias("nth")).filter(F.col("nth") <= feeds.MAX_ITEMS + 1)
+    docs = docs.groupBy(F.col("source").alias("feed_key")).agg(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("i")))).alias("x"))
     body = F.concat(F.lit("<?xml version='1.0'?><rss version='2.0'><channel><title>"), "feed_key", F.lit("</title>"), F.array_join(F.transform("x", lambda v: v["i"]), ""), F.lit("</channel></rss>"))
     return docs.select("feed_key", body.alias("body"))
 
@@ -698,16 +702,17 @@ def ingest_report(spark, d):
 
 @query("select event_type as topic_id, (epoch_us(ts) // 3600000000)::bigint as hour, count(*) as n from events group by all")
 def stream_hourly_counts(spark, d):
-    """The events as a stream, counted by hour; the sink holds one row a topic and hour."""
+    """The events as a stream, counted by hour; every batch replaces the table of counts."""
+    import tempfile
     import uuid
 
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     counts = passes.hourly_counts(stream.select(F.col("event_type").alias("topic_id"), F.col("ts").cast("timestamp").alias("ts")))
-    name = f"hourly_{uuid.uuid4().hex}"
-    writer = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}")
-    writer.start().awaitTermination()
-    return spark.table(name).select("topic_id", F.floor(F.unix_seconds("hour") / 3600).alias("hour"), "n")
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{shared.rstrip('/')}/hourly-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="inkstream-hourly-")
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/counts")
+    counts.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{folder}/counts").select("topic_id", F.floor(F.unix_seconds("hour") / 3600).alias("hour"), "n")

@@ -485,3 +485,31 @@ def burst_verdicts_all(spark, d):
     t = spark.createDataFrame(rows, "asked string, n long, samples int, last long")
     v = scores.burst_verdict("n", F.col("samples"), F.lit(0.0), F.lit(0.0), "last", F.lit(100 * hour))
     return t.select(v.alias("v"), "asked").select("v.verdict", "v.hours_remaining", "asked")
+
+
+@query(
+    f"with {ARTICLES}, x as (select id, source_id, published_at, lang, list_distinct({TOKENS.format('title')}) as t, row_number() over (partition by source_id order by published_at, id) - 1 as nth from art), "
+    "u as (select source_id, unnest(t) as e from x where nth < 20), s as (select source_id, count(distinct e) as n, md5(string_agg(distinct e, '|' order by e)) as digest from u group by source_id) "
+    "select 'st_' || x.source_id as id, any_value(coalesce(s.n, 0)) as n_shingles, any_value(coalesce(digest, md5(''))) as digest, string_agg(distinct lang, ',' order by lang) as entities, count(*) as members from x left join s using (source_id) group by x.source_id"
+)
+def centroid_fold(spark, d):
+    """Stories around each source's first article after all its others have joined: shingles freeze, entities do not."""
+    from pyspark.sql.window import Window
+
+    a = reads.load_articles(spark, d).withColumn("nth", F.row_number().over(Window.partitionBy("source_id").orderBy("published_at", "id")))
+    a = a.select("workspace_id", F.concat(F.lit("st_"), "source_id").alias("story_id"), "source_id", "id", "published_at", "nth", F.array_distinct(text.tokens_norm("title")).alias("shingles"), F.array("lang").alias("entities"))
+    s = clustering.fold_members(store.open_stories(a.filter("nth = 1"), 5), a.filter("nth > 1"))
+    digest = F.md5(F.array_join("centroid_shingles", "|").cast("binary"))
+    return s.select("id", F.size("centroid_shingles").cast("long").alias("n_shingles"), digest.alias("digest"), F.array_join("entities", ",").alias("entities"), F.col("centroid_member_count").alias("members"))
+
+
+@query(f"with {ARTICLES}, s as (select min(id) as first, source_id from art group by source_id) select 'st_' || s.first as id, count(*) filter (where art.id <> s.first) as joined, count(*) as members from art join s using (source_id) group by s.first having count(*) > 1")
+def clusters_of_copies(spark, d):
+    """A clustering pass over articles of one text for each source: the first opens a story and the others join it."""
+    same = F.concat_ws(" ", *(F.concat(F.col("source_id"), F.lit(w)) for w in ("alpha", "beta", "gamma", "delta", "epsilon")))
+    a = reads.load_articles(spark, d).select(F.format_string("%012d", "id").alias("id"), F.col("source_id").alias("workspace_id"), "published_at", "fetched_at", F.lit(None).cast("string").alias("title"), same.alias("body"))
+    a = clustering.features(a)
+    none = a.select("workspace_id", "id", F.col("fetched_at").alias("last_seen_at"), F.lit(1).cast("long").alias("member_count"), "shingles", "entities", "title_tokens").limit(0)
+    c = clustering.cluster_pass(a, none, reads.clock(spark, d), window_hours=24 * 365, pending=10**9)
+    out = c.groupBy("story_id").agg(F.count_if(~F.col("opened")).alias("joined"), F.count("*").alias("members"))
+    return out.filter("members > 1").select(F.concat(F.lit("st_"), F.substring("story_id", 4, 12).cast("long").cast("string")).alias("id"), "joined", "members")
