@@ -3,7 +3,9 @@
 Each text's character-class and common-word histograms are compared with those of
 language references by Jensen-Shannon distance (square root of the divergence in
 bits).  The nearest language counts.  A histogram over few characters or words
-says little, so each distance has a minimum length below which it is not used.
+says little, so each distance has a minimum length below which it is not used, and a
+text most of whose characters are in no class of the references (another script) is not
+compared with them.
 
 One projection over the scan: no shuffle, no Python.  Intermediate columns are
 used at least twice by the next projection, which keeps Catalyst from inlining
@@ -139,8 +141,8 @@ def features(docs: DataFrame) -> DataFrame:
     ]
     return d.select(
         "doc_id", "n_words", "word_chars", F.col("c_symbols").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
-        F.when(F.col("word_chars") >= MIN_CHARS, F.least(*by_class)).alias("class_distance"),
-        F.when(F.col("n_words") >= MIN_WORDS, F.least(*by_word)).alias("word_distance"),
+        F.when((F.col("word_chars") >= MIN_CHARS) & (2 * F.col("c_other") <= F.col("word_chars")), F.least(*by_class)).alias("class_distance"),
+        F.when((F.col("n_words") >= MIN_WORDS) & (2 * F.col("c_other") <= F.col("word_chars")), F.least(*by_word)).alias("word_distance"),
     )
 
 
@@ -150,7 +152,8 @@ def judge(docs: DataFrame, class_limit: float = CLASS_LIMIT, mean_limit: float =
     ``base_failed``: under 50 words, or over half the words in repeated 3-word windows.
     ``kept``: neither that, nor too far from every language reference: by character
     classes beyond ``class_limit``, or by the mean of both distances beyond
-    ``mean_limit``.  A null distance (text too short for its histogram) rejects nothing.
+    ``mean_limit``.  A null distance (text too short for its histogram, or in a script
+    without references) rejects nothing.  Whole texts of any length are counted.
     Null and wordless texts have zero counts and fail the base rule.  Repeated rows,
     null ids and extra columns change nothing; an empty table gives an empty result.
     """

@@ -33,7 +33,7 @@ def divergence() -> str:
  b as (select d.doc_id, len(w) as n_words, array_to_string(w, '') as s, list_transform(w, lambda x: lower(x)) as low, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
  coalesce(r.n, 0) as n_repeat_words from d left join r using (doc_id)),
  c as (select doc_id, n_words, length(s) as word_chars, len(lines) - len(list_distinct(lines)) as n_dup_lines, n_repeat_words, {counts}, {hits} from b),
- j as (select *, case when word_chars >= {quality.MIN_CHARS} then least({by_class}) end as by_class, case when n_words >= {quality.MIN_WORDS} then least({by_word}) end as by_word,
+ j as (select *, case when word_chars >= {quality.MIN_CHARS} and 2 * (word_chars - {' - '.join(own)}) <= word_chars then least({by_class}) end as by_class, case when n_words >= {quality.MIN_WORDS} and 2 * (word_chars - {' - '.join(own)}) <= word_chars then least({by_word}) end as by_word,
  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
  select doc_id, n_words, word_chars, c_symbols as n_symbols, n_dup_lines, n_repeat_words, base_failed,
  not base_failed and not coalesce(by_class > {quality.CLASS_LIMIT}, false) and not coalesce((by_class + by_word) / 2 > {quality.MEAN_LIMIT}, false) as kept, round(by_class, 9) as class_distance, round(by_word, 9) as word_distance from j"""

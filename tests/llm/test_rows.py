@@ -78,6 +78,13 @@ def test_divergence(docs):
             assert got[r.doc_id].word_distance == pytest.approx(want, abs=1e-9)
 
 
+def test_other_scripts_are_not_compared(spark):
+    prose = " ".join(f"слово{c}{d} ещё{d}{c} одно длинное{c}{d} предложение" for c in "абвгд" for d in "жзик")
+    junk = " ".join(f"x{i}#%$&*|<>{i}" for i in range(200))
+    rows = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(1, prose), (2, junk)], "doc_id long, text string")).collect()}
+    assert rows[1].class_distance is None and rows[1].kept and not rows[2].kept
+
+
 def test_native_plans(docs):
     for df in (quality.judge(docs), secrets.scan(docs), licenses.scan(docs.select(F.col("doc_id").alias("key"), F.col("source").alias("path"), "text"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -412,6 +419,14 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_equal_rows_share_the_cut(spark):
+    """Equal rows tie in the seeded order; they take the same and together not more than the flow."""
+    rows = [(7, "w " * 100, "a")] * 5 + [(8, "v " * 10, "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    of_a = [r.taken for r in got if r.doc_id == 7]
+    assert len(set(of_a)) == 1 and got[0].target - 5 <= sum(of_a) <= [r.target for r in got if r.doc_id == 7][0]
+
+
 def test_flow_is_cheapest_and_largest():
     """Against linear relaxation by brute force: largest flow per subset of sources (max-flow min-cut), repetition by repetition."""
     from itertools import combinations
