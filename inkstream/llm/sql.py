@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkstream.llm import mixing, quality, secrets
+from inkstream.llm import licenses, mixing, quality, secrets
 
 WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -118,3 +118,47 @@ def near_groups(width: int = 4, percent: int = 80) -> str:
  c as (select a, min(b) as b from r group by a)
  select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) as component_id, least(d.doc_id, coalesce(b, d.doc_id)) = d.doc_id as kept
  from d left join n on n.doc_id = d.doc_id left join c on c.a = d.doc_id"""
+
+
+def _tokens(text: str) -> str:
+    return f"list_filter(list_transform(string_split_regex(lower({text}), '{licenses._TOKEN}'), lambda t: trim(t, '.')), lambda t: t <> '')"
+
+
+def _scored(name: str, units: str, templates: dict[str, tuple[str, ...]], least: float) -> str:
+    """Common table expressions that end in ``name``: each unit's best template, of units (doc_id, line, n_tokens, tokens)."""
+    rows, idf, unknown = licenses.template_vectors(templates)
+    vectors = ", ".join(f"('{a}', {i}, '{t}', {u!r}::double)" for a, i, t, u in rows)
+    weights = ", ".join(f"('{t}', {w!r}::double)" for t, w in idf.items())
+    return f"""{name}_v(license, template, token, unit) as (values {vectors}), {name}_i(token, idf) as (values {weights}),
+ {name}_c as (select doc_id, line, n_tokens, token, count(*) as n from (select doc_id, line, n_tokens, unnest(tokens) as token from {units}) group by all),
+ {name}_w as (select c.*, n * coalesce(idf, {unknown!r}) as w, idf is not null as known from {name}_c c left join {name}_i using (token)),
+ {name}_n as (select doc_id, line, n_tokens, sqrt(sum(w * w)) as norm from {name}_w group by all having sqrt(coalesce(sum(w * w) filter (where known), 0)) >= {least - 1e-6!r} * sqrt(sum(w * w))),
+ {name}_d as (select doc_id, line, n_tokens, license, template, round(sum(w * unit) / any_value(norm), 9) as cosine from {name}_w join {name}_n using (doc_id, line, n_tokens) join {name}_v using (token) group by all),
+ {name} as (select doc_id, line, n_tokens, license, cosine from (select *, row_number() over (partition by doc_id, line, n_tokens order by cosine desc, license, template) as k from {name}_d where cosine >= {least}) where k = 1)"""
+
+
+def license_scan() -> str:
+    holder = licenses.HOLDER.replace("(?=all rights reserved)", "(all rights reserved)").replace("\\u00a9", "©")
+    spdx = licenses.SPDX.replace(r"(?!(?:NONE|NOASSERTION)\b)", "")
+    assert holder != licenses.HOLDER and spdx != licenses.SPDX
+    cue, part, gap = licenses.CUE, licenses.PART, licenses.GAP.replace("\\n", "\n")
+    return f"""with f as (select doc_id, concat_ws('/', source, lang, doc_id::varchar) as path, text, regexp_matches(text, '{cue}') as cue from documents),
+ li as (select doc_id, unnest(string_split(text, chr(10))) as words, generate_subscripts(string_split(text, chr(10)), 1) as line from f where cue),
+ lt as (select doc_id, line, len({_tokens('words')}) as n_tokens, {_tokens(f"regexp_replace(words, '{holder}', '{chr(92)}1', 'g')")} as tokens from li where regexp_matches(words, '{cue}')),
+ {_scored('notice', 'lt', licenses.TEMPLATES, licenses.MIN_COSINE)},
+ bp as (select doc_id, string_split_regex(regexp_replace(text, '{chr(13)}{chr(10)}?', chr(10), 'g'), '{gap}') as parts from f where cue),
+ ba as (select doc_id, parts, list_filter(range(1, len(parts) + 1), lambda i: regexp_matches(parts[i], '{part}')) as at_ from bp),
+ bu as (select doc_id, unnest(at_) as line, unnest(list_transform(at_, lambda i: parts[i])) as words from ba union all select doc_id, -1, array_to_string(parts[at_[1]:at_[-1]], chr(10)) from ba where len(at_) > 1),
+ bt as (select doc_id, line, len({_tokens('words')}) as n_tokens, {_tokens('words')} as tokens from bu),
+ {_scored('block', 'bt', licenses.full_texts(), licenses.MIN_BLOCK_COSINE)},
+ sp as (select doc_id, list_filter(regexp_extract_all(text, '{spdx}', 1), lambda x: not regexp_matches(x, '^(NONE|NOASSERTION)\\b'))[1] as x from f where cue),
+ own as (select doc_id, license, cosine, n_tokens, 'line' as kind from notice union all select doc_id, license, cosine, n_tokens, case when line < 0 then 'joined' else 'block' end from block
+ union all select doc_id, regexp_replace(x, '\\b((?:A|L)?GPL-[0-9.]*[0-9])(?:-only|-or-later|\\+)', '\\1', 'g'), 1.0::double, 0, 'spdx' from sp where x is not null),
+ rk as (select *, case when kind = 'spdx' then 0 when kind = 'joined' then 1 when license <> 'Proprietary' then 2 else 3 end as rank from own),
+ bs as (select doc_id, arg_min(license, (rank, -cosine, license)) as own, arg_min(cosine, (rank, -cosine, license)) as cosine,
+ greatest(coalesce(sum(n_tokens) filter (where kind = 'line'), 0), coalesce(sum(n_tokens) filter (where kind = 'block'), 0), coalesce(sum(n_tokens) filter (where kind = 'joined'), 0)) as n_tokens from rk group by doc_id),
+ r as (select f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') as at_, own, cosine, coalesce(n_tokens, 0) as n_tokens, len(string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+')) as n_words from f left join bs using (doc_id)),
+ dirs as (select at_ as directory, arg_min(own, path) as theirs from r where own is not null and (regexp_matches(path, '{licenses.FILE}') or n_tokens >= {licenses.FILE_SHARE} * n_words) group by at_),
+ above as (select at_, unnest(list_transform(range(0, len(string_split(at_, '/')) + 1), lambda n: array_to_string(string_split(at_, '/')[1:n], '/'))) as directory from (select distinct at_ from r where own is null)),
+ nearest as (select at_, arg_max(directory, (length(directory), directory)) as directory, arg_max(theirs, (length(directory), directory)) as theirs from above join dirs using (directory) group by at_)
+ select r.doc_id, coalesce(own, theirs) as license, cosine, own is null and theirs is not null as inherited, n.directory from r left join nearest n on r.own is null and n.at_ = r.at_"""
