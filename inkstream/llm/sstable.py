@@ -40,9 +40,9 @@ BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 8 << 20
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 #: Bytes of text encoded at once.
-ENCODE_BYTES = 3 << 20
+ENCODE_BYTES = (2 << 20) - 64
 #: Bytes of input files for each range of ids.
 RANGE_BYTES = 64 << 20
 #: Ranges whose shards are summed together.
@@ -226,7 +226,7 @@ class WordEncoder:
             return starts, ends
         letter, mark = _LETTER[data], _MARK[data]
         cut = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
-        whole = np.concatenate([[0], np.cumsum(_WHOLE[data])])
+        whole = np.concatenate([np.zeros(1, np.int32), np.cumsum(_WHOLE[data], dtype=np.int32)])
         word = np.searchsorted(starts, cut, "right") - 1
         ok = (cut > starts[word]) & (cut < ends[word]) & (whole[ends[word]] == whole[starts[word]])
         cut = cut[ok]
@@ -235,7 +235,10 @@ class WordEncoder:
     @staticmethod
     def _folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The bytes with A-Z in lower case, but for words with "<": special tokens are matched as written."""
-        low, opens = _text._LOWER[data], np.concatenate([[0], np.cumsum(data == 0x3C)])
+        low, less = _text._LOWER[data], data == 0x3C
+        if not less.any():
+            return low
+        opens = np.concatenate([np.zeros(1, np.int32), np.cumsum(less, dtype=np.int32)])
         special = opens[ends] > opens[starts]
         if special.any():
             edge = np.zeros(len(data) + 1, np.int8)
