@@ -219,9 +219,21 @@ _DUPES = f"""{_SIMHASH}, p as (select a.doc_id as id, min(b.doc_id) as duplicate
  and bit_count(xor(a.simhash, b.simhash)) <= 3 group by a.doc_id)"""
 
 
+def stored(spark: SparkSession):
+    """Writes tables to the session's shared folder and reads them back; a local session without one gets a temporary folder."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return passes.table_writer(spark, f"{shared.rstrip('/')}/pass-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="inkstream-pass-"))
+
+
 def _originals(spark, d):
     h = _hashed(spark, d).select(F.col("doc_id").alias("id"), (F.lit(reads.EPOCH_MS) + F.col("doc_id") * 60_000).alias("at"), "simhash")
-    return near_dup.originals(h)
+    # fingerprints are read several times, and hashed once
+    return near_dup.originals(stored(spark)("hashes", h))
 
 
 @query(f"with {_DUPES} select id, duplicate_of from p")

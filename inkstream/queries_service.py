@@ -11,7 +11,7 @@ from inkstream.functions import dates, markup, scores, text
 from inkstream.functions.dates import HOUR_MS
 from inkstream.operators import bursts, clustering, store
 from inkstream.plans import reads, topics
-from inkstream.queries import _BASE, _DOCS, _HAS, _LOG, ARTICLES, TOKENS, TOPICS, _log, _log_now, _sources, query, table
+from inkstream.queries import _BASE, _DOCS, _HAS, _LOG, ARTICLES, TOKENS, TOPICS, _log, _log_now, _sources, query, stored, table
 from inkstream.sources import feeds, opml
 from inkstream.streaming import passes
 
@@ -293,17 +293,6 @@ def _bodies(spark, d, kind: str = "rss") -> DataFrame:
     return x.select("feed_key", F.concat(F.lit(head), F.array_join(F.transform("x", lambda v: v["i"]), joint), F.lit(tail)).alias("body"))
 
 
-def _writer(spark):
-    """Stores a pass in the session's shared folder; a local session without one gets a temporary folder."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return passes.table_writer(spark, f"{shared.rstrip('/')}/pass-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="inkstream-pass-"))
-
-
 def _by_source():
     from pyspark.sql.window import Window
 
@@ -321,7 +310,7 @@ _WANTED = "t3 OR t17 OR t101 OR t999 OR t150"
 def service_pass(spark, d):
     """Counters of a whole pass over empty tables: every title is one token of its own, so nothing joins."""
     now = reads.clock(spark, d)
-    out = passes.service_pass(passes.empty_tables(spark), _bodies(spark, d), {"some": topics.parse(_WANTED)}, now, _writer(spark))
+    out = passes.service_pass(passes.empty_tables(spark), _bodies(spark, d), {"some": topics.parse(_WANTED)}, now, stored(spark))
     return out["report"]
 
 
@@ -329,7 +318,7 @@ def service_pass(spark, d):
 def source_refresh(spark, d):
     now = reads.clock(spark, d)
     body = _bodies(spark, d).filter("feed_key = 'src1'")
-    out = passes.refresh_source(passes.empty_tables(spark), body, {"some": topics.parse(_WANTED)}, now, _writer(spark))
+    out = passes.refresh_source(passes.empty_tables(spark), body, {"some": topics.parse(_WANTED)}, now, stored(spark))
     return reduce(DataFrame.unionByName, (out[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("articles", "stories", "matches")))
 
 
@@ -337,7 +326,7 @@ def source_refresh(spark, d):
 def ingest_replay(spark, d):
     """The same bodies again, an hour later, add nothing."""
     now = reads.clock(spark, d)
-    first = _writer(spark)("articles", passes.shaped(passes.ingest(_bodies(spark, d), passes.empty_tables(spark)["articles"], now), passes.ARTICLE))
+    first = stored(spark)("articles", passes.shaped(passes.ingest(_bodies(spark, d), passes.empty_tables(spark)["articles"], now), passes.ARTICLE))
     again = passes.ingest(_bodies(spark, d), first, now + HOUR_MS)
     both = again.select(F.lit(1).alias("added"), F.lit(0).alias("stored")).unionByName(first.select(F.lit(0).alias("added"), F.lit(1).alias("stored")))
     return both.agg(F.sum("added").alias("added"), F.sum("stored").alias("stored"))
