@@ -31,6 +31,16 @@ def block_keys(h: str, distance: int = 3) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("k"), F.col(h).bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(keys)))
 
 
+def sorted_(side: DataFrame) -> DataFrame:
+    """A side of a join of shuffled, sorted rows.
+
+    Spark estimates the sides by the compressed size of the stored fingerprints, and an
+    explode as no more than what it explodes: it would send tables of many times the
+    broadcast threshold, which grow with the input, to the driver.
+    """
+    return side.hint("merge")
+
+
 def neighbours(times: DataFrame, distance: int = 3, span_ms: int = LOOKBACK_HOURS * HOUR_MS) -> DataFrame:
     """(h, g): different non-zero fingerprints at most ``distance`` bits apart, g perhaps within ``span_ms`` before h.
 
@@ -40,7 +50,7 @@ def neighbours(times: DataFrame, distance: int = 3, span_ms: int = LOOKBACK_HOUR
     one = times.select("simhash", F.floor(F.col("at") / span_ms).alias("cell")).filter("simhash <> 0").distinct()
     keyed = one.select("simhash", "cell", F.explode(block_keys("simhash", distance)).alias("b")).select("simhash", "cell", "b.k", "b.value")
     h = keyed.select(F.col("simhash").alias("h"), "k", "value", F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"))
-    pairs = h.join(keyed.withColumnRenamed("simhash", "g"), ["k", "value", "cell"])
+    pairs = h.join(sorted_(keyed.withColumnRenamed("simhash", "g")), ["k", "value", "cell"])
     return pairs.filter((F.col("h") != F.col("g")) & (hamming("h", "g") <= distance)).select("h", "g").distinct()
 
 
@@ -68,16 +78,16 @@ def originals(articles: DataFrame, distance: int = 3, lookback_hours: int = LOOK
     span = lookback_hours * HOUR_MS
     several = times.groupBy("simhash").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("simhash").alias("h"), F.col("simhash").alias("g"))
     near = neighbours(times, distance, span).unionByName(several)
-    probe = times.select(F.col("simhash").alias("h"), "at").join(near, "h").withColumn("since", F.col("at") - span)
+    probe = times.select(F.col("simhash").alias("h"), "at").join(sorted_(near), "h").withColumn("since", F.col("at") - span)
     base = lambda t: F.floor(F.col(t) / CELL_MS)
     levels = max(span // CELL_MS, 1).bit_length()
     own = times.select(F.col("simhash").alias("g"), "at", "id", base("at").alias("base"))
     firsts = own.select("g", "at", "id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.struct(k.alias("level"), F.floor(F.col("base") / F.pow(F.lit(2), k)).alias("cell")))).alias("c"))
     firsts = firsts.groupBy("g", "c.level", "c.cell").agg(F.min(F.struct("at", "id")).alias("f"))
     inside = probe.select("h", "at", "g", F.explode(_cells(base("since") + 1, base("at"), levels)).alias("c")).select("h", "at", "g", "c.level", "c.cell")
-    whole = inside.join(firsts, ["g", "level", "cell"]).select("h", "at", "f")
-    cut = probe.select("h", "at", "since", "g", base("since").alias("base")).join(own.select("g", "base", F.struct("at", "id").alias("f")), ["g", "base"])
+    whole = inside.join(sorted_(firsts), ["g", "level", "cell"]).select("h", "at", "f")
+    cut = probe.select("h", "at", "since", "g", base("since").alias("base")).join(sorted_(own.select("g", "base", F.struct("at", "id").alias("f"))), ["g", "base"])
     # the articles of the probe's own base cell may be later ones: the least of all is asked, and compared at the end
     least = whole.unionByName(cut.filter("f.at >= since").select("h", "at", "f")).groupBy("h", "at").agg(F.min("f").alias("f"))
-    found = a.join(least.withColumnRenamed("h", "simhash"), ["simhash", "at"])
+    found = a.join(sorted_(least.withColumnRenamed("h", "simhash")), ["simhash", "at"])
     return found.filter((F.col("f.at") < F.col("at")) | (F.col("f.at") == F.col("at")) & (F.col("f.id") < F.col("id"))).select("id", F.col("f.id").alias("duplicate_of"))
