@@ -118,6 +118,13 @@ def test_duplicates_by_source_stays_off_the_driver(spark):
     assert sum(r.n for r in out.collect()) == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_ingest_report_stays_off_the_driver(spark):
+    out = queries.ingest_report(spark, SF)
+    assert "Join" in plan(out) and "Broadcast" not in plan(out)
+    r = out.first()
+    assert r["items"] == r.inserted + r.duplicates == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_developing_stream(spark, tmp_path):
     for n, rows in enumerate([[("a", 1), ("b", 2)], [("a", 3), ("b", 2), ("c", 9)], [("a", 3)]]):
         spark.createDataFrame(rows, "id string, source_count long").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/batch={n}"))
