@@ -49,7 +49,7 @@ def _overlap(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-def replay(pending: pd.DataFrame, stories: pd.DataFrame, now: int, window_hours: int, threshold: float, freeze: int, use_titles: bool) -> pd.DataFrame:
+def replay(pending: pd.DataFrame, stories: pd.DataFrame, now: int, window_hours: int | None, threshold: float, freeze: int, use_titles: bool) -> pd.DataFrame:
     """One pass in order: each article joins the best story as earlier ones have left it, or opens one.
 
     A duplicate takes its original's story, from ``original_story`` or this pass, and changes nothing in it.
@@ -58,6 +58,7 @@ def replay(pending: pd.DataFrame, stories: pd.DataFrame, now: int, window_hours:
         r.id: {"shingles": set(r.shingles), "entities": set(r.entities), "title": set(r.title_tokens) if use_titles else set(), "n": r.member_count, "seen": r.last_seen_at}
         for r in stories.itertuples()
     }
+    since = float("-inf") if window_hours is None else now - window_hours * HOUR_MS
     out, placed = [], {}
     for a in pending.sort_values(["published_at", "id"]).itertuples():
         given = next((x for x in (a.original_story, placed.get(a.duplicate_of)) if isinstance(x, str)), None)
@@ -68,7 +69,7 @@ def replay(pending: pd.DataFrame, stories: pd.DataFrame, now: int, window_hours:
         own = {"shingles": set(a.shingles), "entities": set(a.entities), "title": set(a.title_tokens)}
         rated = []
         for sid, s in live.items():
-            if s["seen"] >= now - window_hours * HOUR_MS:
+            if s["seen"] >= since:
                 total = sum(w * _overlap(own[k], s[k]) for k, w in WEIGHTS.items())
                 if total >= threshold:
                     rated.append((-total, sid))
@@ -90,11 +91,12 @@ def replay(pending: pd.DataFrame, stories: pd.DataFrame, now: int, window_hours:
 
 
 def cluster_pass(
-    articles: DataFrame, stories: DataFrame, now: int, window_hours: int = CLUSTER_WINDOW_HOURS, threshold: float = JOIN_THRESHOLD,
-    freeze: int = CENTROID_FREEZE_MEMBERS, pending: int = PENDING, use_titles: bool = False,
+    articles: DataFrame, stories: DataFrame, now: int, window_hours: int | None = CLUSTER_WINDOW_HOURS, threshold: float = JOIN_THRESHOLD,
+    freeze: int = CENTROID_FREEZE_MEMBERS, pending: int | None = PENDING, use_titles: bool = False,
 ) -> DataFrame:
     """Exact sequential assignment of the first ``pending`` unclustered articles of each workspace.
 
+    None for ``pending`` takes all articles, None for ``window_hours`` stories of any age.
     Each assignment depends on the ones before it, so a workspace is one task: of at most
     ``pending`` articles and the stories that can be joined, which are those that share a
     shingle with one of them (other overlap alone stays under the threshold), or with
@@ -103,12 +105,13 @@ def cluster_pass(
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("workspace_id").orderBy("published_at", "id")
-    p = articles.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= pending).drop("nth")
+    p = articles if pending is None else articles.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= pending).drop("nth")
     given = [F.col(c) if c in articles.columns else F.lit(None).cast("string").alias(c) for c in ("duplicate_of", "original_story")]
     p = p.select("workspace_id", "id", "published_at", "fetched_at", "shingles", "entities", "title_tokens", *given)
     shared = F.concat("shingles", "entities", "title_tokens") if use_titles or WEIGHTS["entities"] >= threshold else F.col("shingles")
     wanted = p.select("workspace_id", F.explode(shared).alias("e")).distinct()
-    s = stories.toDF(*stories.columns).filter(F.col("last_seen_at") >= now - window_hours * HOUR_MS)
+    s = stories.toDF(*stories.columns)
+    s = s if window_hours is None else s.filter(F.col("last_seen_at") >= now - window_hours * HOUR_MS)
     has = s.select("workspace_id", "id", F.explode(shared).alias("e"))
     s = s.join(has.join(wanted, ["workspace_id", "e"]).select("workspace_id", "id").distinct(), ["workspace_id", "id"], "left_semi")
     s = s.select("workspace_id", "id", "last_seen_at", "member_count", "shingles", "entities", "title_tokens")

@@ -72,6 +72,15 @@ def test_cluster_pass(spark):
     assert {r.article_id for r in best} == {"a1", "a2"}
 
 
+def test_clusters_of_copies_of_several_years(spark, tmp_path):
+    """The whole table is clustered, however long ago its first articles came."""
+    year = 366 * 24 * 60
+    spark.createDataFrame([(i * year, f"s{i % 2}", "en", "x") for i in range(6)], "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted(tuple(r) for r in queries.QUERIES["clusters_of_copies"](spark, str(tmp_path)).select("id", "joined", "members").collect())
+    assert got == [("st_0", 2, 3), (f"st_{year}", 2, 3)]
+
+
 def test_original_at_the_edges(spark):
     """Look-backs cut at any millisecond, copies of one time, and pairs across cells, against all pairs."""
     import random
