@@ -44,6 +44,26 @@ def test_feed_limits():
         feeds.parse_feed("<rss>" + "<a>" * 50_000)
 
 
+def full_feed(head, entry, tail, n):
+    return head + "".join(entry.format(i) for i in range(n)) + tail
+
+
+def check_full_feed(head, entry, tail):
+    """A complete feed of as many items as may be is not truncated; one that ends early or has more is."""
+    whole, more = full_feed(head, entry, tail, 500), full_feed(head, entry, tail, 501)
+    assert not feeds.parse_feed(whole)["truncated"] and len(feeds.parse_feed(whole)["items"]) == 500
+    extra = entry.format("last").index("last") + 6
+    for body in (more, whole[: -len(tail)], whole[: -len(tail)] + entry.format("last")[:extra], full_feed(head, entry, tail, 499)[:-3]):
+        feed = feeds.parse_feed(body)
+        assert feed["truncated"] and len(feed["items"]) == min(500, body.count("https://x/")) and feed["items"][-1]["url"] == f"https://x/{len(feed['items']) - 1}"
+    deep = feeds.parse_feed(whole[: -len(tail)] + "<a>" * 70)
+    assert deep["truncated"] and len(deep["items"]) == 500
+
+
+def test_full_atom():
+    check_full_feed('<a:feed xmlns:a="x"><a:title>T</a:title>', '<a:entry><a:title>t</a:title><a:link href="https://x/{}"/></a:entry>', "</a:feed>")
+
+
 def test_opml(spark):
     s = spark.createDataFrame([("w", "1", 'A "x" & b', "https://a/?p=1&q=2", None), ("w", "2", "B", "https://b", "https://site")], "workspace_id string, id string, title string, feed_url string, site_url string")
     doc = opml.export(s)
