@@ -64,6 +64,10 @@ def test_full_atom():
     check_full_feed('<a:feed xmlns:a="x"><a:title>T</a:title>', '<a:entry><a:title>t</a:title><a:link href="https://x/{}"/></a:entry>', "</a:feed>")
 
 
+def test_full_rdf():
+    check_full_feed("<rdf:RDF><channel><title>T</title></channel>", "<item><title>t</title><link>https://x/{}</link></item>", "</rdf:RDF>")
+
+
 def test_opml(spark):
     s = spark.createDataFrame([("w", "1", 'A "x" & b', "https://a/?p=1&q=2", None), ("w", "2", "B", "https://b", "https://site")], "workspace_id string, id string, title string, feed_url string, site_url string")
     doc = opml.export(s)
