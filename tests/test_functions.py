@@ -83,6 +83,16 @@ def test_dates(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+def test_rfc3339_in_a_gap(spark):
+    """02:07 UTC on the day New York has no such local time."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert column(spark, [1710036420123, -1, None], dates.to_rfc3339("x"), "long") == ["2024-03-10T02:07:00Z", "1969-12-31T23:59:59Z", None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_local_time(spark):
     noon = 1772971200000  # 2026-03-08 12:00 UTC, the day New York springs forward
     due = column(spark, ["02:30", "07:05", "24:00", "x"], dates.local_time_today_ms("America/New_York", "x", F.lit(noon)))

@@ -28,6 +28,25 @@ def test_against_sql(spark, name):
     pd.testing.assert_frame_equal(key(got), key(want))
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_feed_rdf_against_sql(spark, tmp_path, zone):
+    """More documents than a feed may have, one without a key, dated over a change of the clocks."""
+    first = 99_300  # 2024-03-09 23:00 UTC; three hours later New York's clocks skip an hour
+    docs = [(i, "a") for i in (None, *range(first, first + 510))] + [(1, None), (first + 190, "b")]
+    spark.createDataFrame(docs, "doc_id long, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    result = con.execute(queries.ORACLE_SQL["feed_rdf"])
+    names, want = [c[0] for c in result.description], result.fetchall()
+    session = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = [tuple(r) for r in queries.QUERIES["feed_rdf"](spark, str(tmp_path)).select(*names).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", session)
+    assert len(want) == 502 and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and queries_service.service_pass
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
